@@ -9,7 +9,7 @@ it fails a soft rule itself: clean documents of a bad host stay.
 
 Edge cases: a null or empty text has no words and fails the base rules; a null host is a host of its own; repeated rows
 are judged each by itself; an empty table gives an empty table; other columns are not read and don't clash, because
-documents are known by ``doc_id`` only and one pass computes everything but the host's verdict.
+only ``doc_id``, the host and the text are taken; the texts are read once, and the counts written before hosts are judged.
 """
 
 from __future__ import annotations
@@ -22,6 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quarry.llm import text as tx
+from quarry.llm.scratch import Scratch
 
 #: Characters counted as symbols.
 SYMBOLS = b"#*$%&|<>"
@@ -130,7 +131,8 @@ def judged(counted: DataFrame, rules: Rules = Rules()) -> DataFrame:
 
 
 def quality_rules(docs: DataFrame, host: str = "source", rules: Rules = Rules()) -> DataFrame:
-    return judged(counts(docs, host, rules.window), rules)
+    counted = Scratch(docs.sparkSession).keep(counts(docs, host, rules.window), "counts")
+    return judged(counted, rules)
 
 
 def op10_quality_rules(docs: DataFrame) -> DataFrame:

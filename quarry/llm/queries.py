@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quarry.llm import bpe, mixing, neighbours, quality, sharding
+from quarry.llm import bpe, jaccard, mixing, neighbours, quality, repeats, sharding
 
 
 def _over(table: str, f: Callable[[DataFrame], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
@@ -15,6 +15,8 @@ def _over(table: str, f: Callable[[DataFrame], DataFrame]) -> Callable[[SparkSes
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_ngram_jaccard": _over("documents", jaccard.op1_ngram_jaccard),
+        "op2_suffix_dedup": _over("documents", repeats.op2_suffix_dedup),
         "op3_vector_packing": _over("documents", sharding.op3_vector_packing),
         "op7_hash_prefix_forest": _over("embeddings", neighbours.op7_hash_prefix_forest),
         "op8_byte_bpe": _over("documents", bpe.op8_byte_bpe),

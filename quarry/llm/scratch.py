@@ -36,7 +36,7 @@ class Scratch:
         jvm = self.spark._jvm
         for name in names:
             path = jvm.org.apache.hadoop.fs.Path(f"{self.top}/{name}")
-            path.getFileSystem(self.spark._jsc.sparkContext().hadoopConfiguration()).delete(path, True)
+            path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def runs(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[tuple[object, Iterator[pa.RecordBatch]]]:
