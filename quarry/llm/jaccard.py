@@ -1,17 +1,21 @@
 """Operator 1, n-gram Jaccard join: a blocked sparse product of documents by shingles, with size-derived bounds.
 
 Rows of the matrix are distinct shingle sets (equal sets are one row, known by a 64-bit hash and the set's size), so
-copies never meet as pairs.  A row enters the product with its prefix only: of two sets that overlap in ``need`` of
-their shingles, with at most (1 - t) n + 1 left out of each, the first such many in any common order must meet.  The
-order puts shingles of many documents last: a bitmap of fixed size marks shingles whose hash bucket holds HOT or more.
+copies never meet as pairs.  Two bitmaps of fixed size say which shingles are *shared* (their hash bucket holds two
+documents or more) and which *frequent* (HOT or more).  A set of n shingles needs an overlap of ceil(t n) with any
+partner, and only shared shingles overlap: a row with fewer shared shingles has no partner and leaves at once.  Others
+enter the product with their prefix only: of their shared shingles in a common order, frequent ones last, all but the
+last ceil(t n) - 1; two rows that reach the threshold meet in their prefixes.
 
- 1. One pass writes each document's (doc_id, row, n) and the packed buckets of its shingles; these give the bitmap.
+ 1. One pass writes each document's (doc_id, row, n) and the packed buckets of its shingles; these give the bitmaps.
  2. A second pass deals prefix entries (shingle, row, n) by shingle into column blocks, packed, each task sending a pair
     of shingle and row once.  A block multiplies its columns with its rows: as no column outside the bitmap holds HOT
     documents, the work is bounded by HOT times the entries.  Overlaps are summed over blocks, and pairs discarded
     whose sizes or summed overlaps rule out the threshold.
  3. Entries under frequent shingles (texts that are mostly passages of many documents, large groups of near copies) are
-    lists of any length.  Each list is compared with its smallest row first, a star, not as pairs.
+    lists of any length.  Each list is first compared with a hub only, the row with the largest share of shared
+    shingles (the text that others were made from has nothing of its own); then, under the components so found, with
+    the hub of the rows outside the list's main component.
  4. Each row's best partner and the stars are verified on the exact sets and linked; then what is left are pairs across
     different components.  Frequent lists that are one component by now, which large groups of near copies are, need
     nothing more; in others only rows outside the list's main component meet the rest.  These are verified too.
@@ -87,9 +91,9 @@ def _need(n: np.ndarray, num: int, den: int) -> np.ndarray:
     return -(-n * num // den)
 
 
-def _entries(docs: DataFrame, width: int, num: int, den: int, bitmap, bits: int, blocks: int) -> DataFrame:
+def _entries(docs: DataFrame, width: int, num: int, den: int, shared, frequent, bits: int, blocks: int) -> DataFrame:
     """Prefix entries: packed (block >= 0), or single ones under frequent shingles (block -1)."""
-    schema = "block int, blob binary, shingle long, row long, n long"
+    schema = "block int, blob binary, shingle long, row long, n long, own long"
     kind = np.dtype([("h", "<u4"), ("n", "<u4"), ("r", "<u8")])
     shift = np.uint64(40)
 
@@ -106,10 +110,10 @@ def _entries(docs: DataFrame, width: int, num: int, den: int, bitmap, bits: int,
         ends = [0, *(np.flatnonzero(np.diff(block)) + 1).tolist(), len(h)]
         m = len(ends) - 1
         none = pa.nulls(m, pa.int64())
-        yield pa.RecordBatch.from_pydict({"block": pa.array(block[ends[:-1]], pa.int32()), "blob": pa.array([e[i:j].tobytes() for i, j in zip(ends[:-1], ends[1:], strict=True)], pa.binary()), "shingle": none, "row": none, "n": none})
+        yield pa.RecordBatch.from_pydict({"block": pa.array(block[ends[:-1]], pa.int32()), "blob": pa.array([e[i:j].tobytes() for i, j in zip(ends[:-1], ends[1:], strict=True)], pa.binary()), "shingle": none, "row": none, "n": none, "own": none})
 
     def run(batches):
-        often_bits, held, size, seen = bitmap.value, [], 0, set()
+        shared_bits, often_bits, held, size, seen = shared.value, frequent.value, [], 0, set()
         for b in batches:
             data, off = tx.utf8(b.column("text"))
             singles = []
@@ -120,19 +124,25 @@ def _entries(docs: DataFrame, width: int, num: int, den: int, bitmap, bits: int,
                 n = np.diff(so)
                 row = _row_keys(h, so)
                 owner = np.repeat(np.arange(len(n)), n)
+                common = hit(shared_bits, bits, h)
+                some = np.bincount(owner[common], minlength=len(n))
+                prefix = some - _need(n, num, den) + 1
+                common &= (prefix > 0)[owner]
+                h, owner = h[common], owner[common]
+                if not len(h):
+                    continue
                 hot = hit(often_bits, bits, h)
-                order = np.lexsort((h, hot, owner))  # rare ones first, then by hash
+                order = np.lexsort((h, hot, owner))  # frequent ones last, then by hash
                 h, hot = h[order], hot[order]
-                prefix = n - _need(n, num, den) + 1
-                at = np.arange(len(h)) - so[owner]
+                at = np.arange(len(h)) - np.searchsorted(owner, owner)
                 take = at < prefix[owner]
                 h, hot, owner = h[take], hot[take], owner[take]
-                some = np.zeros(len(n), np.uint32)
-                some[owner[hot]] = np.uint32(1 << 31)  # rows that also have entries outside the blocks
+                flag = np.zeros(len(n), np.uint32)
+                flag[owner[hot]] = np.uint32(1 << 31)  # rows that also have entries outside the blocks
                 cold = ~hot
-                held.append((h[cold], row[owner[cold]], n[owner[cold]].astype(np.uint32) | some[owner[cold]]))
+                held.append((h[cold], row[owner[cold]], n[owner[cold]].astype(np.uint32) | flag[owner[cold]]))
                 size += int(cold.sum())
-                for x in zip(_sign(h[hot]).tolist(), _sign(row[owner[hot]]).tolist(), n[owner[hot]].tolist(), strict=True):
+                for x in zip(_sign(h[hot]).tolist(), _sign(row[owner[hot]]).tolist(), n[owner[hot]].tolist(), (n - some)[owner[hot]].tolist(), strict=True):
                     if x not in seen:
                         seen.add(x)
                         singles.append(x)
@@ -143,8 +153,8 @@ def _entries(docs: DataFrame, width: int, num: int, den: int, bitmap, bits: int,
                     held, size = [], 0
             if singles:
                 m = len(singles)
-                s, r, n = zip(*singles, strict=True)
-                yield pa.RecordBatch.from_pydict({"block": pa.array(np.full(m, -1), pa.int32()), "blob": pa.nulls(m, pa.binary()), "shingle": pa.array(s, pa.int64()), "row": pa.array(r, pa.int64()), "n": pa.array(n, pa.int64())})
+                s, r, n, own = zip(*singles, strict=True)
+                yield pa.RecordBatch.from_pydict({"block": pa.array(np.full(m, -1), pa.int32()), "blob": pa.nulls(m, pa.binary()), "shingle": pa.array(s, pa.int64()), "row": pa.array(r, pa.int64()), "n": pa.array(n, pa.int64()), "own": pa.array(own, pa.int64())})
         if size:
             yield from flush(held)
 
@@ -235,12 +245,12 @@ def jaccard_components(docs: DataFrame, width: int = 5, num: int = 3, den: int =
     bits = width_for(size / 5)
     first = scratch.keep(_first(docs, width, bits), "first")
     rows = first.where("row is not null").select("doc_id", "row", "n")
-    bitmap = spark.sparkContext.broadcast(often(first.where("part is not null"), bits, hot))
+    shared, frequent = (spark.sparkContext.broadcast(x) for x in often(first.where("part is not null"), bits, (2, hot)))
     members = scratch.keep(rows.where("n > 0").groupBy("row", "n").agg(F.min("doc_id").alias("doc_id")), "members")
 
     blocks = max(8, int(size / 6 * (den - num) / den / BLOCK) + 1)
     tasks = max(8, min(blocks, int(spark.conf.get("spark.sql.shuffle.partitions"))))
-    entries = scratch.keep(_entries(docs, width, num, den, bitmap, bits, blocks), "entries")
+    entries = scratch.keep(_entries(docs, width, num, den, shared, frequent, bits, blocks), "entries")
     product = _product(entries.where("block >= 0").select("block", "blob"), num, den, tasks)
     summed = product.groupBy("a", "b").agg(F.sum("overlap").alias("overlap"), F.first("na").alias("na"), F.first("nb").alias("nb"), F.max("both").alias("both"))
     # of a common overlap, what isn't in both prefixes lies behind the prefix that ends first
@@ -251,35 +261,50 @@ def jaccard_components(docs: DataFrame, width: int = 5, num: int = 3, den: int =
     # lists under frequent shingles, cut by size so that sizes that rule each other out seldom meet
     ratio = den / num * 1.005
     level = F.floor(F.log(F.col("n").cast("double")) / float(np.log(ratio))).cast("int")
-    lists = entries.where("block = -1").select("shingle", "row", "n").distinct()
+    # own: shingles of no other document; both rows of a pair must reach the overlap without them
+    lists = entries.where("block = -1").select("shingle", "row", "n", "own").distinct()
     lists = scratch.keep(lists.withColumn("level", F.explode(F.array(level, level + 1))), "lists")
     scratch.drop("entries")
-    near = F.least("na", "nb") * den >= F.greatest("na", "nb") * num
-    stars = lists.groupBy("shingle", "level").agg(F.min(F.struct("row", "n")).alias("s"))
-    star_pairs = lists.join(stars, ["shingle", "level"]).select(F.col("s")["row"].alias("a"), F.col("row").alias("b"), F.col("s")["n"].alias("na"), F.col("n").alias("nb")).where((F.col("a") != F.col("b")) & near).select("a", "b").distinct()
-
-    both_ways = pairs.select("a", "b", "overlap").unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"), "overlap"))
-    best = both_ways.groupBy("b").agg(F.max(F.struct("overlap", F.col("a"))).alias("top")).select(F.col("top")["a"].alias("a"), "b")
+    keys = ["shingle", "level"]
+    fits = (F.least("na", "nb") * den >= F.greatest("na", "nb") * num) & (F.least(F.col("na") - F.col("oa"), F.col("nb") - F.col("ob")) * (num + den) >= (F.col("na") + F.col("nb")) * num)
     ordered = lambda df: df.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    tried = scratch.keep(ordered(best.unionByName(star_pairs)), "tried")
-    links = scratch.keep(_verified(tried, docs, members, width, num, den), "links1")
-    label = components(links, scratch, "one")
+    central = F.struct((-F.col("own") / F.col("n")).alias("c"), "row", "n", "own")
 
-    def labelled(df: DataFrame, key: str, out: str) -> DataFrame:
+    def to_hubs(members: DataFrame, hubs: DataFrame) -> DataFrame:
+        met = members.join(hubs, keys).select(F.col("hub")["row"].alias("a"), F.col("hub")["n"].alias("na"), F.col("hub")["own"].alias("oa"), F.col("row").alias("b"), F.col("n").alias("nb"), F.col("own").alias("ob"))
+        return met.where((F.col("a") != F.col("b")) & fits).select("a", "b").distinct()
+
+    def labelled(df: DataFrame, label: DataFrame, key: str, out: str) -> DataFrame:
         named = label.select(F.col("node").alias("_node"), F.col("root").alias(out))
         return df.join(named, F.col(key) == F.col("_node"), "left").drop("_node").withColumn(out, F.coalesce(F.col(out), F.col(key)))
 
-    across = labelled(labelled(pairs.select("a", "b"), "a", "la"), "b", "lb").where("la <> lb").select("a", "b")
-    tagged = labelled(lists, "row", "label")
-    main = tagged.groupBy("shingle", "level", "label").count().groupBy("shingle", "level").agg(F.max(F.struct("count", "label"))["label"].alias("main"), F.count("*").alias("labels")).where("labels > 1")
-    open_lists = scratch.keep(tagged.join(main, ["shingle", "level"]), "open")
-    minor = open_lists.where("label <> main").select("shingle", "level", F.col("row").alias("a"), F.col("n").alias("na"), F.col("label").alias("la"))
-    rest = open_lists.select("shingle", "level", F.col("row").alias("b"), F.col("n").alias("nb"), F.col("label").alias("lb"))
-    met = minor.join(rest, ["shingle", "level"]).where((F.col("la") != F.col("lb")) & near).select("a", "b")
-    last = ordered(across.unionByName(met)).join(tried, ["a", "b"], "left_anti")
+    both_ways = pairs.select("a", "b", "overlap").unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"), "overlap"))
+    best = both_ways.groupBy("b").agg(F.max(F.struct("overlap", F.col("a"))).alias("top")).select(F.col("top")["a"].alias("a"), "b")
+    hubs = lists.groupBy(*keys).agg(F.max(central).alias("hub"))
+    tried = scratch.keep(ordered(best.unionByName(to_hubs(lists, hubs))), "tried")
+    links = scratch.keep(_verified(tried, docs, members, width, num, den), "links1")
+
+    def still_open(lists: DataFrame, label: DataFrame) -> DataFrame:
+        """Rows of lists that have several components, with their label and the list's main one."""
+        tagged = labelled(lists.drop("label", "main"), label, "row", "label")
+        main = tagged.groupBy(*keys, "label").count().groupBy(*keys).agg(F.max(F.struct("count", "label"))["label"].alias("main"), F.count("*").alias("labels")).where("labels > 1").drop("labels")
+        return tagged.join(main, keys)
+
+    label = components(links, scratch, "cc_hub")
+    lists = scratch.keep(still_open(lists, label), "open1")
+    hubs = lists.where("label <> main").groupBy(*keys).agg(F.max(central).alias("hub"))
+    again = scratch.keep(ordered(to_hubs(lists, hubs)).join(tried, ["a", "b"], "left_anti"), "again")
+    links = scratch.keep(links.unionByName(_verified(again, docs, members, width, num, den)), "links2")
+    label = components(links, scratch, "cc_again")
+    lists = scratch.keep(still_open(lists, label), "open2")
+
+    across = labelled(labelled(pairs.select("a", "b"), label, "a", "la"), label, "b", "lb").where("la <> lb").select("a", "b")
+    side = lambda df, x: df.select(*keys, F.col("row").alias(x), F.col("n").alias(f"n{x}"), F.col("own").alias(f"o{x}"), F.col("label").alias(f"l{x}"))
+    met = side(lists.where("label <> main"), "a").join(side(lists, "b"), keys).where((F.col("la") != F.col("lb")) & fits).select("a", "b")
+    last = ordered(across.unionByName(met)).join(tried, ["a", "b"], "left_anti").join(again, ["a", "b"], "left_anti")
     last = scratch.keep(last, "last")
-    links2 = scratch.keep(_verified(last, docs, members, width, num, den), "links2")
-    final = components(links.unionByName(links2), scratch, "two")
+    links = links.unionByName(scratch.keep(_verified(last, docs, members, width, num, den), "links3"))
+    final = components(links, scratch, "cc_last")
 
     named = final.select(F.col("node").alias("row"), "root")
     rooted = rows.join(named, "row", "left").withColumn("root", F.coalesce("root", "row"))

@@ -22,8 +22,11 @@ def folder(spark: SparkSession) -> str:
 class Scratch:
     """Writes intermediate tables below the shared folder; ``drop`` deletes those that no result reads any more."""
 
+    made: list[Scratch] = []
+
     def __init__(self, spark: SparkSession):
         self.spark, self.top = spark, f"{folder(spark)}/quarry-{uuid.uuid4().hex}"
+        Scratch.made.append(self)
 
     def keep(self, df: DataFrame, name: str) -> DataFrame:
         df.write.mode("overwrite").parquet(f"{self.top}/{name}")
@@ -33,10 +36,15 @@ class Scratch:
         return self.spark.read.parquet(f"{self.top}/{name}")
 
     def drop(self, *names: str) -> None:
-        jvm = self.spark._jvm
         for name in names:
-            path = jvm.org.apache.hadoop.fs.Path(f"{self.top}/{name}")
-            path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+            self._delete(f"{self.top}/{name}")
+
+    def clear(self) -> None:
+        self._delete(self.top)
+
+    def _delete(self, where: str) -> None:
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(where)
+        path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def runs(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[tuple[object, Iterator[pa.RecordBatch]]]:
@@ -112,10 +120,10 @@ class Buckets:
         return [int(part[i]) for i in ends[:-1]], [pack(low[i:j]) for i, j in zip(ends[:-1], ends[1:], strict=True)]
 
 
-def often(packed: DataFrame, bits: int, least: int) -> np.ndarray:
-    """A bitmap of 2**bits bits: the buckets that packed rows (part, blob) hold ``least`` times or more.
+def often(packed: DataFrame, bits: int, least: tuple[int, ...]) -> list[np.ndarray]:
+    """For each of ``least`` a bitmap of 2**bits bits: the buckets that packed rows (part, blob) hold so often or more.
 
-    Its size depends on ``bits`` alone.  A bucket holds many keys, so a bit may be set for a rare key, never unset
+    Their size depends on ``bits`` alone.  A bucket holds many keys, so a bit may be set for a rare key, never unset
     for a frequent one.
     """
 
@@ -125,15 +133,14 @@ def often(packed: DataFrame, bits: int, least: int) -> np.ndarray:
             for b in own:
                 for blob in b.column("blob"):
                     total += np.bincount(unpack(blob.as_py()), minlength=1 << LOW)
-            bits_set = np.packbits(total >= least)
-            if bits_set.any():
-                yield pa.RecordBatch.from_pydict({"part": pa.array([part], pa.int64()), "bits": pa.array([bits_set.tobytes()], pa.binary())})
+            found = [np.packbits(total >= x).tobytes() for x in least]
+            yield pa.RecordBatch.from_pydict({"part": pa.array([part] * len(least), pa.int64()), "which": pa.array(range(len(least)), pa.int32()), "bits": pa.array(found, pa.binary())})
 
-    found = packed.select("part", "blob").repartition("part").sortWithinPartitions("part").mapInArrow(count, "part long, bits binary")
-    out = np.zeros((1 << max(bits, LOW)) >> 3, np.uint8)
+    found = packed.select("part", "blob").repartition("part").sortWithinPartitions("part").mapInArrow(count, "part long, which int, bits binary")
+    out = [np.zeros((1 << max(bits, LOW)) >> 3, np.uint8) for _ in least]
     width = (1 << LOW) >> 3
     for row in found.toLocalIterator():
-        out[row["part"] * width : (row["part"] + 1) * width] = np.frombuffer(row["bits"], np.uint8)
+        out[row["which"]][row["part"] * width : (row["part"] + 1) * width] = np.frombuffer(row["bits"], np.uint8)
     return out
 
 
@@ -142,9 +149,9 @@ def hit(bitmap: np.ndarray, bits: int, hashes: np.ndarray) -> np.ndarray:
     return (bitmap[(b >> np.uint64(3)).astype(np.int64)] >> (np.uint8(7) - (b & np.uint64(7)).astype(np.uint8))) & np.uint8(1) != 0
 
 
-def width_for(keys: float, most: int = 28) -> int:
-    """Bits so that a bucket holds half a key on average; ``most`` bounds the bitmap (2**28 bits are 32 MB)."""
-    return int(min(most, max(LOW, np.ceil(np.log2(max(keys, 1) * 2)))))
+def width_for(keys: float, spare: int = 2, most: int = 28) -> int:
+    """Bits for ``spare`` or more buckets a key; ``most`` bounds the bitmap (2**28 bits are 32 MB)."""
+    return int(min(most, max(LOW, np.ceil(np.log2(max(keys, 1) * spare)))))
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
