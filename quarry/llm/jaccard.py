@@ -18,7 +18,8 @@ last ceil(t n) - 1; two rows that reach the threshold meet in their prefixes.
     the hub of the rows outside the list's main component.
  4. Each row's best partner and the stars are verified on the exact sets and linked; then what is left are pairs across
     different components.  Frequent lists that are one component by now, which large groups of near copies are, need
-    nothing more; in others only rows outside the list's main component meet the rest.  These are verified too.
+    nothing more; in others only rows outside the list's main component meet the rest, if what their prefixes
+    share leaves room for the threshold.  These are verified too.
  5. Links give components by star contraction; no step collects links or labels.
 
 Every pair that the threshold links is either verified or already inside one component, so components are exact.
@@ -93,7 +94,7 @@ def _need(n: np.ndarray, num: int, den: int) -> np.ndarray:
 
 def _entries(docs: DataFrame, width: int, num: int, den: int, shared, frequent, bits: int, blocks: int) -> DataFrame:
     """Prefix entries: packed (block >= 0), or single ones under frequent shingles (block -1)."""
-    schema = "block int, blob binary, shingle long, row long, n long, own long"
+    schema = "block int, blob binary, shingle long, row long, n long, own long, prefix long"
     kind = np.dtype([("h", "<u4"), ("n", "<u4"), ("r", "<u8")])
     shift = np.uint64(40)
 
@@ -110,7 +111,7 @@ def _entries(docs: DataFrame, width: int, num: int, den: int, shared, frequent,
         ends = [0, *(np.flatnonzero(np.diff(block)) + 1).tolist(), len(h)]
         m = len(ends) - 1
         none = pa.nulls(m, pa.int64())
-        yield pa.RecordBatch.from_pydict({"block": pa.array(block[ends[:-1]], pa.int32()), "blob": pa.array([e[i:j].tobytes() for i, j in zip(ends[:-1], ends[1:], strict=True)], pa.binary()), "shingle": none, "row": none, "n": none, "own": none})
+        yield pa.RecordBatch.from_pydict({"block": pa.array(block[ends[:-1]], pa.int32()), "blob": pa.array([e[i:j].tobytes() for i, j in zip(ends[:-1], ends[1:], strict=True)], pa.binary()), "shingle": none, "row": none, "n": none, "own": none, "prefix": none})
 
     def run(batches):
         shared_bits, often_bits, held, size, seen = shared.value, frequent.value, [], 0, set()
@@ -142,7 +143,7 @@ def _entries(docs: DataFrame, width: int, num: int, den: int, shared, frequent,
                 cold = ~hot
                 held.append((h[cold], row[owner[cold]], n[owner[cold]].astype(np.uint32) | flag[owner[cold]]))
                 size += int(cold.sum())
-                for x in zip(_sign(h[hot]).tolist(), _sign(row[owner[hot]]).tolist(), n[owner[hot]].tolist(), (n - some)[owner[hot]].tolist(), strict=True):
+                for x in zip(_sign(h[hot]).tolist(), _sign(row[owner[hot]]).tolist(), n[owner[hot]].tolist(), (n - some)[owner[hot]].tolist(), prefix[owner[hot]].tolist(), strict=True):
                     if x not in seen:
                         seen.add(x)
                         singles.append(x)
@@ -153,8 +154,8 @@ def _entries(docs: DataFrame, width: int, num: int, den: int, shared, frequent,
                     held, size = [], 0
             if singles:
                 m = len(singles)
-                s, r, n, own = zip(*singles, strict=True)
-                yield pa.RecordBatch.from_pydict({"block": pa.array(np.full(m, -1), pa.int32()), "blob": pa.nulls(m, pa.binary()), "shingle": pa.array(s, pa.int64()), "row": pa.array(r, pa.int64()), "n": pa.array(n, pa.int64()), "own": pa.array(own, pa.int64())})
+                s, r, n, own, p = zip(*singles, strict=True)
+                yield pa.RecordBatch.from_pydict({"block": pa.array(np.full(m, -1), pa.int32()), "blob": pa.nulls(m, pa.binary()), "shingle": pa.array(s, pa.int64()), "row": pa.array(r, pa.int64()), "n": pa.array(n, pa.int64()), "own": pa.array(own, pa.int64()), "prefix": pa.array(p, pa.int64())})
         if size:
             yield from flush(held)
 
@@ -262,7 +263,7 @@ def jaccard_components(docs: DataFrame, width: int = 5, num: int = 3, den: int =
     ratio = den / num * 1.005
     level = F.floor(F.log(F.col("n").cast("double")) / float(np.log(ratio))).cast("int")
     # own: shingles of no other document; both rows of a pair must reach the overlap without them
-    lists = entries.where("block = -1").select("shingle", "row", "n", "own").distinct()
+    lists = scratch.keep(entries.where("block = -1").select("shingle", "row", "n", "own", "prefix").distinct(), "single")
     lists = scratch.keep(lists.withColumn("level", F.explode(F.array(level, level + 1))), "lists")
     scratch.drop("entries")
     keys = ["shingle", "level"]
@@ -299,8 +300,14 @@ def jaccard_components(docs: DataFrame, width: int = 5, num: int = 3, den: int =
     lists = scratch.keep(still_open(lists, label), "open2")
 
     across = labelled(labelled(pairs.select("a", "b"), label, "a", "la"), label, "b", "lb").where("la <> lb").select("a", "b")
-    side = lambda df, x: df.select(*keys, F.col("row").alias(x), F.col("n").alias(f"n{x}"), F.col("own").alias(f"o{x}"), F.col("label").alias(f"l{x}"))
-    met = side(lists.where("label <> main"), "a").join(side(lists, "b"), keys).where((F.col("la") != F.col("lb")) & fits).select("a", "b")
+    # a pair is made once, under the first shingle that both prefixes hold, and only if the prefixes share enough
+    heads = scratch.read("single").groupBy("row").agg(F.sort_array(F.collect_set("shingle")).alias("head"))
+    lists = lists.join(heads, "row").withColumn("rest", F.col("prefix") - F.size("head"))
+    side = lambda df, x: df.select(*keys, *[F.col(c).alias(f"{c}_{x}") for c in ("head", "rest", "label")], F.col("row").alias(x), F.col("n").alias(f"n{x}"), F.col("own").alias(f"o{x}"))
+    common = F.array_intersect("head_a", "head_b")
+    enough = F.size(common) + F.least("rest_a", "rest_b") + behind >= required
+    once = (F.array_min(common) == F.col("shingle")) & (F.col("level") == F.greatest(*[F.floor(F.log(F.col(x).cast("double")) / float(np.log(ratio))) for x in ("na", "nb")]))
+    met = side(lists.where("label <> main"), "a").join(side(lists, "b"), keys).where((F.col("label_a") != F.col("label_b")) & fits & once & enough).select("a", "b")
     last = ordered(across.unionByName(met)).join(tried, ["a", "b"], "left_anti").join(again, ["a", "b"], "left_anti")
     last = scratch.keep(last, "last")
     links = links.unionByName(scratch.keep(_verified(last, docs, members, width, num, den), "links3"))
