@@ -41,6 +41,7 @@ LENGTH, GRAM = 100, 32
 #: Occurrences from which an anchor's windows are dealt by their own strings.
 HOT = 4096
 NULL_ID = -(1 << 63)
+FIELDS = ("anchor", "doc", "start", "size")
 RECORD = np.dtype([("anchor", "<u8"), ("content", "<u8"), ("doc", "<i8"), ("start", "<i8"), ("size", "<i8")])
 #: Bytes of a very long document that are looked at together.
 PART = 1 << 22
@@ -187,17 +188,13 @@ def _reduce(rec: np.ndarray, content: np.ndarray, length: int, most: int = 60_00
     return merged(*(np.concatenate(x) for x in zip(*out, strict=True)))
 
 
-def _span_rows(doc, start, end) -> pa.RecordBatch:
-    return pa.RecordBatch.from_pydict({"doc_id": pa.array(doc, pa.int64()), "start": pa.array(start, pa.int64()), "end": pa.array(end, pa.int64())})
-
-
 def repeated_spans(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     """doc_id, start, end (bytes): spans under strings that start earlier; they may overlap or touch."""
     spark = docs.sparkSession
     scratch = Scratch(spark)
     docs = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)).alias("doc_id"), "text")
     volume = text_bytes(docs)
-    bits = width_for(volume / 30)
+    bits = width_for(volume / 30, 16, 29)
 
     def anchors(batches):
         buckets = Buckets(bits)
@@ -213,8 +210,7 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH) -> DataFrame:
             yield pa.RecordBatch.from_pydict({"part": pa.array(part, pa.int64()), "blob": pa.array(blob, pa.binary())})
 
     packed = scratch.keep(docs.select("text").mapInArrow(anchors, "part long, blob binary"), "anchors")
-    twice = spark.sparkContext.broadcast(often(packed, bits, 2))
-    hot = spark.sparkContext.broadcast(often(packed, bits, HOT))
+    twice, hot = (spark.sparkContext.broadcast(x) for x in often(packed, bits, (2, HOT)))
     scratch.drop("anchors")
     buckets = max(16, volume >> 22)
 
@@ -250,10 +246,11 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH) -> DataFrame:
             d, s, e = merged(doc[gone], begin[gone], begin[gone] + size[gone])
             n = len(d)
             if n:
-                yield pa.RecordBatch.from_pydict({"bucket": pa.nulls(n, pa.int32()), "records": pa.nulls(n, pa.binary()), "content": pa.nulls(n, pa.binary()), "doc_id": pa.array(d, pa.int64()), "start": pa.array(s, pa.int64()), "end": pa.array(e, pa.int64())})
+                # spans of whole pieces pass through the same exchange, dealt by document
+                yield pa.RecordBatch.from_pydict({"bucket": pa.array(-1 - d % buckets, pa.int32()), "records": pa.nulls(n, pa.binary()), "content": pa.nulls(n, pa.binary()), "doc_id": pa.array(d, pa.int64()), "start": pa.array(s, pa.int64()), "end": pa.array(e, pa.int64())})
             rec = np.zeros(int(new.sum()), RECORD)
             place = place[new]
-            rec["anchor"], rec["content"], rec["doc"], rec["start"], rec["size"] = anchor[new], content[new], doc[new], begin[new], size[new]
+            rec["anchor"], rec["doc"], rec["start"], rec["size"] = anchor[new], doc[new], begin[new], size[new]
             bucket = ((rec["anchor"] >> np.uint64(7)) % np.uint64(buckets)).astype(np.int64)
             order = np.argsort(bucket, kind="stable")
             rec, place, bucket = rec[order], place[order], bucket[order]
@@ -264,28 +261,38 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH) -> DataFrame:
                 none = pa.nulls(m, pa.int64())
                 yield pa.RecordBatch.from_pydict({
                     "bucket": pa.array(bucket[[x for x, _ in cuts]], pa.int32()),
-                    "records": pa.array([rec[x:y].tobytes() for x, y in cuts], pa.binary()),
+                    "records": pa.array([zlib.compress(b"".join(rec[f][x:y].tobytes() for f in FIELDS), 1) for x, y in cuts], pa.binary()),
                     "content": pa.array([zlib.compress(_gather(data, place[x:y], rec["size"][x:y]).tobytes(), 1) for x, y in cuts], pa.binary()),
                     "doc_id": none, "start": none, "end": none,
                 })
 
-    taken = scratch.keep(docs.mapInArrow(take, "bucket int, records binary, content binary, doc_id long, start long, end long"), "taken")
+    def unpacked(blob: bytes) -> np.ndarray:
+        raw = zlib.decompress(blob)
+        out = np.zeros(len(raw) // 32, RECORD)
+        for f, col in zip(FIELDS, np.frombuffer(raw, np.uint64).reshape(4, -1), strict=True):
+            out[f] = col.view(RECORD[f])
+        return out
 
     def reduce(batches):
-        for _, own in runs(batches, "bucket"):
+        for bucket, own in runs(batches, "bucket"):
+            if bucket < 0:
+                for b in own:
+                    yield b.select(["doc_id", "start", "end"])
+                continue
             recs, contents = [], []
             for b in own:
-                recs += [np.frombuffer(x.as_py(), RECORD) for x in b.column("records")]
+                recs += [unpacked(x.as_py()) for x in b.column("records")]
                 contents += [np.frombuffer(zlib.decompress(x.as_py()), np.uint8) for x in b.column("content")]
-            doc, start, end = _reduce(np.concatenate(recs), np.concatenate(contents), length)
+            rec, content = np.concatenate(recs), np.concatenate(contents)
+            ends = np.cumsum(rec["size"])
+            rec["content"] = tx.span_hash(tx.prefix_hash(content), ends - rec["size"], ends)
+            doc, start, end = _reduce(rec, content, length)
             if len(doc):
-                yield _span_rows(doc, start, end)
+                yield pa.RecordBatch.from_pydict({"doc_id": pa.array(doc, pa.int64()), "start": pa.array(start, pa.int64()), "end": pa.array(end, pa.int64())})
 
     tasks = max(8, min(buckets, int(spark.conf.get("spark.sql.shuffle.partitions"))))
-    found = taken.where("bucket is not null").select("bucket", "records", "content").repartition(tasks, "bucket").sortWithinPartitions("bucket").mapInArrow(reduce, "doc_id long, start long, end long")
-    spans = scratch.keep(found.unionByName(taken.where("bucket is null").select("doc_id", "start", "end")), "spans")
-    scratch.drop("taken")
-    return spans
+    taken = docs.mapInArrow(take, "bucket int, records binary, content binary, doc_id long, start long, end long")
+    return scratch.keep(taken.repartition(tasks, "bucket").sortWithinPartitions("bucket").mapInArrow(reduce, "doc_id long, start long, end long"), "spans")
 
 
 def remove(docs: DataFrame, spans: DataFrame, columns: list[str] | None = None) -> DataFrame:
