@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quarry.llm import bpe, jaccard, mixing, neighbours, quality, repeats, sharding
+from quarry.llm import bpe, edits, jaccard, maxent, mixing, neighbours, quality, quotes, repeats, sharding
 
 
 def _over(table: str, f: Callable[[DataFrame], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
@@ -18,6 +18,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_ngram_jaccard": _over("documents", jaccard.op1_ngram_jaccard),
         "op2_suffix_dedup": _over("documents", repeats.op2_suffix_dedup),
         "op3_vector_packing": _over("documents", sharding.op3_vector_packing),
+        "op4_maxent_scoring": _over("documents", maxent.op4_maxent_scoring),
+        "op5_edit_counts": _over("documents", edits.op5_edit_counts),
+        "op6_quotation_links": _over("conversations", quotes.op6_quotation_links),
         "op7_hash_prefix_forest": _over("embeddings", neighbours.op7_hash_prefix_forest),
         "op8_byte_bpe": _over("documents", bpe.op8_byte_bpe),
         "op9_mixing": _over("documents", mixing.op9_mixing),
