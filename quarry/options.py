@@ -1,0 +1,17 @@
+"""Choices that differ between users of the same statistic; every operator takes them explicitly."""
+
+from __future__ import annotations
+
+from dataclasses import dataclass
+from typing import Literal
+
+
+@dataclass(frozen=True)
+class Options:
+    direction: Literal["auc", "pearson", "pearson_strict", "none"] = "auc"
+    ddof: Literal[0, 1] = 0
+    effect: Literal["signed", "absolute"] = "signed"
+    nan: Literal["zero_inf", "zero", "drop", "none"] = "drop"
+    comparator: Literal[">=", ">", "<"] = ">="
+    objective: Literal["youden", "f1", "precision"] = "youden"
+    min_class: int = 2
