@@ -7,11 +7,12 @@ first window's start to the last one's end.  All occurrences of a window's strin
  1. A pass writes the packed buckets of anchors; a bitmap of fixed size marks those that may occur twice, and one those
     of HOT occurrences and more.
  2. A pass takes the pieces of marked anchors.  Equal pieces of a task are one: all but the first are repeats as a
-    whole.  The first goes to its anchor's bucket with its bytes; windows of hot anchors go each by its own string's
-    hash instead, so that no bucket gets all pieces of a hot anchor.
- 3. A bucket first joins equal pieces in the same way.  For anchors with different pieces it builds the enhanced suffix
-    array of the pieces (order, common prefixes, byte on the left), and scans it with a stack for the intervals of the
-    common-prefix tree of ``length`` bytes and more.  An interval whose occurrences differ in the byte on their left, or
+    whole.  The first goes to its anchor's bucket, as hashes and places; windows of hot anchors go each by its own
+    string's hash instead, so that no bucket gets all pieces of a hot anchor.  A bucket joins equal pieces in the same
+    way; a third bitmap marks the anchors that still have different pieces, at the borders of repeated passages.
+ 3. A pass sends only these with their bytes.  A bucket builds the enhanced suffix array of an anchor's different pieces
+    (order, common prefixes, byte on the left), and scans it with a stack for the intervals of the common-prefix tree of
+    ``length`` bytes and more.  An interval whose occurrences differ in the byte on their left, or
     stand at a piece's start, is a maximal repeat; every occurrence but the first is removed over the repeat's length.
  4. The removed spans are joined to the documents.
 
@@ -41,7 +42,7 @@ LENGTH, GRAM = 100, 32
 #: Occurrences from which an anchor's windows are dealt by their own strings.
 HOT = 4096
 NULL_ID = -(1 << 63)
-FIELDS = ("anchor", "doc", "start", "size")
+FIELDS = ("anchor", "content", "doc", "start", "size")
 RECORD = np.dtype([("anchor", "<u8"), ("content", "<u8"), ("doc", "<i8"), ("start", "<i8"), ("size", "<i8")])
 #: Bytes of a very long document that are looked at together.
 PART = 1 << 22
@@ -194,7 +195,7 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     scratch = Scratch(spark)
     docs = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)).alias("doc_id"), "text")
     volume = text_bytes(docs)
-    bits = width_for(volume / 30, 16, 29)
+    bits = width_for(volume / 30, 16)
 
     def anchors(batches):
         buckets = Buckets(bits)
@@ -214,85 +215,118 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     scratch.drop("anchors")
     buckets = max(16, volume >> 22)
 
-    def take(batches):
-        maybe, many = twice.value, hot.value
-        for b in batches:
-            data, off = tx.utf8(b.column("text"))
-            ids = b.column("doc_id").to_numpy()
-            cols = []
-            for i, a, own in _parts(off, length):
-                s, c, anchor, sums = pieces(data[a : a + own[-1]], own, length)
-                keep = hit(maybe, bits, anchor)
-                s, c, anchor = s[keep], c[keep], anchor[keep]
-                if (wide := hit(many, bits, anchor)).any():
-                    each = np.repeat(s[wide], c[wide]) + np.arange(c[wide].sum()) - np.repeat(np.cumsum(c[wide]) - c[wide], c[wide])
-                    s = np.concatenate([s[~wide], each])
-                    c = np.concatenate([c[~wide], np.ones(len(each), np.int64)])
-                    anchor = np.concatenate([anchor[~wide], tx.span_hash(sums, each, each + length)])
-                size = c + length - 1
-                where = np.searchsorted(own, s, "right") - 1
-                begin = s - own[where] + (a - off[i] if len(own) == 2 else 0)
-                cols.append((anchor, tx.span_hash(sums, s, s + size), ids[i + where], begin, size, s + a))
-            if not cols:
-                continue
-            anchor, content, doc, begin, size, place = (np.concatenate(x) for x in zip(*cols, strict=True))
-            order = np.lexsort((begin, doc, content, anchor))
-            anchor, content, doc, begin, size, place = (x[order] for x in (anchor, content, doc, begin, size, place))
-            new = np.concatenate([[True], (anchor[1:] != anchor[:-1]) | (content[1:] != content[:-1])]) if len(anchor) else np.zeros(0, bool)
-            if not len(new):
-                continue
-            lead = np.flatnonzero(new)[np.cumsum(new) - 1]
-            gone = ~new & ((doc != doc[lead]) | (begin != begin[lead]))
-            d, s, e = merged(doc[gone], begin[gone], begin[gone] + size[gone])
-            n = len(d)
-            if n:
-                # spans of whole pieces pass through the same exchange, dealt by document
-                yield pa.RecordBatch.from_pydict({"bucket": pa.array(-1 - d % buckets, pa.int32()), "records": pa.nulls(n, pa.binary()), "content": pa.nulls(n, pa.binary()), "doc_id": pa.array(d, pa.int64()), "start": pa.array(s, pa.int64()), "end": pa.array(e, pa.int64())})
-            rec = np.zeros(int(new.sum()), RECORD)
-            place = place[new]
-            rec["anchor"], rec["doc"], rec["start"], rec["size"] = anchor[new], doc[new], begin[new], size[new]
-            bucket = ((rec["anchor"] >> np.uint64(7)) % np.uint64(buckets)).astype(np.int64)
-            order = np.argsort(bucket, kind="stable")
-            rec, place, bucket = rec[order], place[order], bucket[order]
-            ends = [0, *(np.flatnonzero(np.diff(bucket)) + 1).tolist(), len(rec)]
-            for lo in range(0, len(ends) - 1, 64):
-                cuts = list(zip(ends[lo : lo + 64], ends[lo + 1 : lo + 65], strict=False))
-                m = len(cuts)
-                none = pa.nulls(m, pa.int64())
-                yield pa.RecordBatch.from_pydict({
-                    "bucket": pa.array(bucket[[x for x, _ in cuts]], pa.int32()),
-                    "records": pa.array([zlib.compress(b"".join(rec[f][x:y].tobytes() for f in FIELDS), 1) for x, y in cuts], pa.binary()),
-                    "content": pa.array([zlib.compress(_gather(data, place[x:y], rec["size"][x:y]).tobytes(), 1) for x, y in cuts], pa.binary()),
-                    "doc_id": none, "start": none, "end": none,
-                })
+    def taken(differing=None):
+        """Packed pieces by bucket: of all marked anchors without bytes, or of ``differing`` ones with them."""
+
+        def take(batches):
+            maybe, many = twice.value, hot.value
+            for b in batches:
+                data, off = tx.utf8(b.column("text"))
+                ids = b.column("doc_id").to_numpy()
+                cols = []
+                for i, a, own in _parts(off, length):
+                    s, c, anchor, sums = pieces(data[a : a + own[-1]], own, length)
+                    keep = hit(maybe, bits, anchor)
+                    if differing:
+                        keep &= hit(differing.value, bits, anchor)
+                    s, c, anchor = s[keep], c[keep], anchor[keep]
+                    wide = hit(many, bits, anchor)
+                    if differing:
+                        s, c, anchor = s[~wide], c[~wide], anchor[~wide]
+                    elif wide.any():
+                        each = np.repeat(s[wide], c[wide]) + np.arange(c[wide].sum()) - np.repeat(np.cumsum(c[wide]) - c[wide], c[wide])
+                        s = np.concatenate([s[~wide], each])
+                        c = np.concatenate([c[~wide], np.ones(len(each), np.int64)])
+                        anchor = np.concatenate([anchor[~wide], tx.span_hash(sums, each, each + length)])
+                    size = c + length - 1
+                    where = np.searchsorted(own, s, "right") - 1
+                    begin = s - own[where] + (a - off[i] if len(own) == 2 else 0)
+                    cols.append((anchor, tx.span_hash(sums, s, s + size), ids[i + where], begin, size, s + a))
+                if not sum(len(x[0]) for x in cols):
+                    continue
+                anchor, content, doc, begin, size, place = (np.concatenate(x) for x in zip(*cols, strict=True))
+                order = np.lexsort((begin, doc, content, anchor))
+                anchor, content, doc, begin, size, place = (x[order] for x in (anchor, content, doc, begin, size, place))
+                new = np.concatenate([[True], (anchor[1:] != anchor[:-1]) | (content[1:] != content[:-1])])
+                lead = np.flatnonzero(new)[np.cumsum(new) - 1]
+                gone = ~new & ((doc != doc[lead]) | (begin != begin[lead]))
+                d, s, e = merged(doc[gone], begin[gone], begin[gone] + size[gone])
+                n = len(d)
+                if n and not differing:
+                    # spans of whole pieces pass through the same exchange, dealt by document
+                    none = pa.nulls(n, pa.binary())
+                    yield pa.RecordBatch.from_pydict({"bucket": pa.array(-1 - d % buckets, pa.int32()), "records": none, "content": none, "doc_id": pa.array(d, pa.int64()), "start": pa.array(s, pa.int64()), "end": pa.array(e, pa.int64())})
+                rec = np.zeros(int(new.sum()), RECORD)
+                place = place[new]
+                rec["anchor"], rec["content"], rec["doc"], rec["start"], rec["size"] = anchor[new], content[new], doc[new], begin[new], size[new]
+                bucket = ((rec["anchor"] >> np.uint64(7)) % np.uint64(buckets)).astype(np.int64)
+                order = np.argsort(bucket, kind="stable")
+                rec, place, bucket = rec[order], place[order], bucket[order]
+                ends = [0, *(np.flatnonzero(np.diff(bucket)) + 1).tolist(), len(rec)]
+                for lo in range(0, len(ends) - 1, 64):
+                    cuts = list(zip(ends[lo : lo + 64], ends[lo + 1 : lo + 65], strict=False))
+                    none = pa.nulls(len(cuts), pa.int64())
+                    yield pa.RecordBatch.from_pydict({
+                        "bucket": pa.array(bucket[[x for x, _ in cuts]], pa.int32()),
+                        "records": pa.array([zlib.compress(b"".join(rec[f][x:y].tobytes() for f in FIELDS), 1) for x, y in cuts], pa.binary()),
+                        "content": pa.array([zlib.compress(_gather(data, place[x:y], rec["size"][x:y]).tobytes(), 1) if differing else None for x, y in cuts], pa.binary()),
+                        "doc_id": none, "start": none, "end": none,
+                    })
+
+        rows = docs.mapInArrow(take, "bucket int, records binary, content binary, doc_id long, start long, end long")
+        return rows.repartition(tasks, "bucket").sortWithinPartitions("bucket")
 
     def unpacked(blob: bytes) -> np.ndarray:
         raw = zlib.decompress(blob)
-        out = np.zeros(len(raw) // 32, RECORD)
-        for f, col in zip(FIELDS, np.frombuffer(raw, np.uint64).reshape(4, -1), strict=True):
+        out = np.zeros(len(raw) // RECORD.itemsize, RECORD)
+        for f, col in zip(FIELDS, np.frombuffer(raw, np.uint64).reshape(len(FIELDS), -1), strict=True):
             out[f] = col.view(RECORD[f])
         return out
 
-    def reduce(batches):
+    def spans_of(doc, start, end, part=(), blob=()) -> pa.RecordBatch:
+        n, m = len(doc), len(part)
+        column = lambda x, kind: pa.array([*x, *[None] * m] if m else x, kind)
+        return pa.RecordBatch.from_pydict({"doc_id": column(doc, pa.int64()), "start": column(start, pa.int64()), "end": column(end, pa.int64()), "part": pa.array([*[None] * n, *part], pa.int64()), "blob": pa.array([*[None] * n, *blob], pa.binary())})
+
+    def join_equal(batches):
+        marked = Buckets(bits)
         for bucket, own in runs(batches, "bucket"):
             if bucket < 0:
                 for b in own:
-                    yield b.select(["doc_id", "start", "end"])
+                    yield spans_of(*(b.column(c).to_numpy() for c in ("doc_id", "start", "end")))
                 continue
+            r = np.concatenate([unpacked(x.as_py()) for b in own for x in b.column("records")])
+            r = r[np.lexsort((r["start"], r["doc"], r["content"], r["anchor"]))]
+            new = np.concatenate([[True], (r["content"][1:] != r["content"][:-1]) | (r["anchor"][1:] != r["anchor"][:-1])])
+            lead = np.flatnonzero(new)[np.cumsum(new) - 1]
+            gone = ~new & ((r["doc"] != r["doc"][lead]) | (r["start"] != r["start"][lead]))
+            doc, start, end = merged(r["doc"][gone], r["start"][gone], r["start"][gone] + r["size"][gone])
+            if len(doc):
+                yield spans_of(doc, start, end)
+            anchor = r["anchor"][new]
+            marked.add(np.unique(anchor[1:][anchor[1:] == anchor[:-1]]))
+            if marked.full():
+                yield spans_of((), (), (), *marked.rows())
+        if marked.n:
+            yield spans_of((), (), (), *marked.rows())
+
+    def by_tree(batches):
+        for _, own in runs(batches, "bucket"):
             recs, contents = [], []
             for b in own:
                 recs += [unpacked(x.as_py()) for x in b.column("records")]
                 contents += [np.frombuffer(zlib.decompress(x.as_py()), np.uint8) for x in b.column("content")]
-            rec, content = np.concatenate(recs), np.concatenate(contents)
-            ends = np.cumsum(rec["size"])
-            rec["content"] = tx.span_hash(tx.prefix_hash(content), ends - rec["size"], ends)
-            doc, start, end = _reduce(rec, content, length)
+            doc, start, end = _reduce(np.concatenate(recs), np.concatenate(contents), length)
             if len(doc):
                 yield pa.RecordBatch.from_pydict({"doc_id": pa.array(doc, pa.int64()), "start": pa.array(start, pa.int64()), "end": pa.array(end, pa.int64())})
 
     tasks = max(8, min(buckets, int(spark.conf.get("spark.sql.shuffle.partitions"))))
-    taken = docs.mapInArrow(take, "bucket int, records binary, content binary, doc_id long, start long, end long")
-    return scratch.keep(taken.repartition(tasks, "bucket").sortWithinPartitions("bucket").mapInArrow(reduce, "doc_id long, start long, end long"), "spans")
+    equal = scratch.keep(taken().mapInArrow(join_equal, "doc_id long, start long, end long, part long, blob binary"), "equal")
+    differing = spark.sparkContext.broadcast(often(equal.where("part is not null"), bits, (1,))[0])
+    tree = scratch.keep(taken(differing).mapInArrow(by_tree, "doc_id long, start long, end long"), "tree")
+    for sent in (twice, hot, differing):
+        sent.unpersist()
+    return equal.where("part is null").select("doc_id", "start", "end").unionByName(tree)
 
 
 def remove(docs: DataFrame, spans: DataFrame, columns: list[str] | None = None) -> DataFrame:
