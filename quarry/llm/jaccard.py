@@ -19,8 +19,7 @@ last ceil(t n) - 1; two rows that reach the threshold meet in their prefixes.
  4. Each row's best partner and the stars are verified on the exact sets and linked; then what is left are pairs across
     different components.  Frequent lists that are one component by now, which large groups of near copies are, need
     nothing more; in others only rows outside the list's main component meet the rest, if their frequent shingles
-    alone, and what their prefixes share of these, leave room for the threshold (what they share of others is summed
-    before).  These are verified too.
+    alone, from a common one on, leave room for the threshold (what they share of others is summed before).  These are verified too.
  5. Links give components by star contraction; no step collects links or labels.
 
 Every pair that the threshold links is either verified or already inside one component, so components are exact.
@@ -95,7 +94,7 @@ def _need(n: np.ndarray, num: int, den: int) -> np.ndarray:
 
 def _entries(docs: DataFrame, width: int, num: int, den: int, shared, frequent, bits: int, blocks: int) -> DataFrame:
     """Prefix entries: packed (block >= 0), or single ones under frequent shingles (block -1)."""
-    schema = "block int, blob binary, shingle long, row long, n long, own long, hot long"
+    schema = "block int, blob binary, shingle long, row long, n long, own long, hot long, rank long"
     kind = np.dtype([("h", "<u4"), ("n", "<u4"), ("r", "<u8")])
     shift = np.uint64(40)
 
@@ -112,7 +111,7 @@ def _entries(docs: DataFrame, width: int, num: int, den: int, shared, frequent,
         ends = [0, *(np.flatnonzero(np.diff(block)) + 1).tolist(), len(h)]
         m = len(ends) - 1
         none = pa.nulls(m, pa.int64())
-        yield pa.RecordBatch.from_pydict({"block": pa.array(block[ends[:-1]], pa.int32()), "blob": pa.array([e[i:j].tobytes() for i, j in zip(ends[:-1], ends[1:], strict=True)], pa.binary()), "shingle": none, "row": none, "n": none, "own": none, "hot": none})
+        yield pa.RecordBatch.from_pydict({"block": pa.array(block[ends[:-1]], pa.int32()), "blob": pa.array([e[i:j].tobytes() for i, j in zip(ends[:-1], ends[1:], strict=True)], pa.binary()), "shingle": none, "row": none, "n": none, "own": none, "hot": none, "rank": none})
 
     def run(batches):
         shared_bits, often_bits, held, size, seen = shared.value, frequent.value, [], 0, set()
@@ -135,17 +134,18 @@ def _entries(docs: DataFrame, width: int, num: int, den: int, shared, frequent,
                     continue
                 hot = hit(often_bits, bits, h)
                 hots = np.bincount(owner[hot], minlength=len(n))
+                colds = np.bincount(owner[~hot], minlength=len(n))
                 order = np.lexsort((h, hot, owner))  # frequent ones last, then by hash
                 h, hot = h[order], hot[order]
                 at = np.arange(len(h)) - np.searchsorted(owner, owner)
                 take = at < prefix[owner]
-                h, hot, owner = h[take], hot[take], owner[take]
+                h, hot, owner, at = h[take], hot[take], owner[take], at[take]
                 flag = np.zeros(len(n), np.uint32)
                 flag[owner[hot]] = np.uint32(1 << 31)  # rows that also have entries outside the blocks
                 cold = ~hot
                 held.append((h[cold], row[owner[cold]], n[owner[cold]].astype(np.uint32) | flag[owner[cold]]))
                 size += int(cold.sum())
-                for x in zip(_sign(h[hot]).tolist(), _sign(row[owner[hot]]).tolist(), n[owner[hot]].tolist(), (n - some)[owner[hot]].tolist(), hots[owner[hot]].tolist(), strict=True):
+                for x in zip(_sign(h[hot]).tolist(), _sign(row[owner[hot]]).tolist(), n[owner[hot]].tolist(), (n - some)[owner[hot]].tolist(), hots[owner[hot]].tolist(), (at - colds[owner])[hot].tolist(), strict=True):
                     if x not in seen:
                         seen.add(x)
                         singles.append(x)
@@ -156,8 +156,8 @@ def _entries(docs: DataFrame, width: int, num: int, den: int, shared, frequent,
                     held, size = [], 0
             if singles:
                 m = len(singles)
-                s, r, n, own, p = zip(*singles, strict=True)
-                yield pa.RecordBatch.from_pydict({"block": pa.array(np.full(m, -1), pa.int32()), "blob": pa.nulls(m, pa.binary()), "shingle": pa.array(s, pa.int64()), "row": pa.array(r, pa.int64()), "n": pa.array(n, pa.int64()), "own": pa.array(own, pa.int64()), "hot": pa.array(p, pa.int64())})
+                s, r, n, own, p, rank = zip(*singles, strict=True)
+                yield pa.RecordBatch.from_pydict({"block": pa.array(np.full(m, -1), pa.int32()), "blob": pa.nulls(m, pa.binary()), "shingle": pa.array(s, pa.int64()), "row": pa.array(r, pa.int64()), "n": pa.array(n, pa.int64()), "own": pa.array(own, pa.int64()), "hot": pa.array(p, pa.int64()), "rank": pa.array(rank, pa.int64())})
         if size:
             yield from flush(held)
 
@@ -265,7 +265,7 @@ def jaccard_components(docs: DataFrame, width: int = 5, num: int = 3, den: int =
     ratio = den / num * 1.005
     level = F.floor(F.log(F.col("n").cast("double")) / float(np.log(ratio))).cast("int")
     # own: shingles of no other document; both rows of a pair must reach the overlap without them
-    lists = scratch.keep(entries.where("block = -1").select("shingle", "row", "n", "own", "hot").distinct(), "single")
+    lists = scratch.keep(entries.where("block = -1").select("shingle", "row", "n", "own", "hot", "rank").distinct(), "single")
     lists = scratch.keep(lists.withColumn("level", F.explode(F.array(level, level + 1))), "lists")
     scratch.drop("entries")
     keys = ["shingle", "level"]
@@ -308,13 +308,12 @@ def jaccard_components(docs: DataFrame, width: int = 5, num: int = 3, den: int =
     across = labelled(labelled(pairs.withColumn("required", required), label, "a", "la"), label, "b", "lb").where("la <> lb")
     across = across.join(heat_of("a"), "a", "left").join(heat_of("b"), "b", "left")
     across = across.where((F.col("both") == 0) | (F.col("overlap") + F.least("ha", "hb") >= F.col("required"))).select("a", "b")
-    side = lambda df, x: df.select(*keys, F.col("row").alias(x), *[F.col(c).alias(f"{c}_{x}") for c in ("label", "hot")], F.col("n").alias(f"n{x}"))
-    fits = (F.least("na", "nb") * den >= F.greatest("na", "nb") * num) & (F.least("hot_a", "hot_b") >= required)
+    side = lambda df, x: df.select(*keys, F.col("row").alias(x), *[F.col(c).alias(f"{c}_{x}") for c in ("label", "hot", "rank")], F.col("n").alias(f"n{x}"))
+    # all that they share comes at or after the first shingle that they share, so too little may be left behind it
+    left = F.least(F.col("hot_a") - F.col("rank_a"), F.col("hot_b") - F.col("rank_b"))
+    fits = (F.least("na", "nb") * den >= F.greatest("na", "nb") * num) & (left >= required)
     once = F.col("level") == F.greatest(*[F.floor(F.log(F.col(x).cast("double")) / float(np.log(ratio))) for x in ("na", "nb")])
-    met = side(lists.where("label <> main"), "a").join(side(lists, "b"), keys).where((F.col("label_a") != F.col("label_b")) & fits & once)
-    # a pair of two such rows is made from both sides, so each shingle may count twice
-    shared_heads = met.groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(F.count_distinct("shingle").alias("common"), F.min(required - behind).alias("least"))
-    met = shared_heads.where("common >= least").select("a", "b")
+    met = side(lists.where("label <> main"), "a").join(side(lists, "b"), keys).where((F.col("label_a") != F.col("label_b")) & fits & once).select("a", "b")
     last = ordered(across.unionByName(met)).join(tried, ["a", "b"], "left_anti").join(again, ["a", "b"], "left_anti")
     last = scratch.keep(last, "last")
     links = links.unionByName(scratch.keep(_verified(last, docs, members, width, num, den), "links3"))
