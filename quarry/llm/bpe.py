@@ -23,8 +23,10 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Pieces kept in a task's memory, and the longest of them.
-KEPT, LONGEST = 1_500_000, 64
+from quarry.llm.scratch import mapped
+
+#: Pieces, and pairs of tokens, kept in a worker's memory, and the longest piece.
+KEPT, LONGEST = 400_000, 64
 LEAF = 24
 
 
@@ -79,7 +81,7 @@ class Vocabulary:
 
     def well(self, a: int, b: int) -> bool:
         if (known := self._well.get((a, b))) is None:
-            if len(self._well) > 1_000_000:
+            if len(self._well) >= KEPT:
                 self._well.clear()
             known = self._well[a, b] = self.direct(self.token[a] + self.token[b]) == [a, b]
         return known
@@ -157,7 +159,7 @@ def encode(docs: DataFrame, path: str, pattern: str, with_ids: bool = False) ->
                 cols["ids"] = pa.array(kept, pa.list_(pa.int32()))
             yield pa.RecordBatch.from_pydict(cols)
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, schema)
+    return mapped(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), run, schema)
 
 
 def default_vocabulary() -> tuple[str, str]:

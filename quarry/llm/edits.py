@@ -20,6 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quarry.llm.bpe import default_vocabulary, pieces_of
+from quarry.llm.scratch import mapped
 
 #: Characters behind its end that decide a piece.
 AHEAD = 2
@@ -116,7 +117,7 @@ def counted(docs: DataFrame, edits: DataFrame | None = None, path: str | None =
             a, c, d, e = zip(*out, strict=True) if out else ((), (), (), ())
             yield pa.RecordBatch.from_pydict({"doc_id": b.column("doc_id"), "n_tokens": pa.array(a, pa.int64()), "n_edited": pa.array(c, pa.int64()), "n_reencoded": pa.array(d, pa.int64()), "edited_chars": pa.array(e, pa.int64())})
 
-    return base.mapInArrow(run, "doc_id long, n_tokens long, n_edited long, n_reencoded long, edited_chars long")
+    return mapped(base, run, "doc_id long, n_tokens long, n_edited long, n_reencoded long, edited_chars long")
 
 
 def sample_edits():

@@ -39,7 +39,7 @@ from pyspark.sql.window import Window
 
 from quarry.llm import text as tx
 from quarry.llm.components import components
-from quarry.llm.scratch import Buckets, Scratch, hit, often, runs, text_bytes, width_for
+from quarry.llm.scratch import Buckets, Scratch, hit, mapped, often, runs, text_bytes, width_for
 
 #: Documents that make a shingle frequent; also the longest column that is multiplied out.
 HOT = 40
@@ -84,7 +84,7 @@ def _first(docs: DataFrame, width: int, bits: int) -> DataFrame:
         if part:
             yield out(part=part, blob=blob)
 
-    return docs.mapInArrow(run, schema)
+    return mapped(docs, run, schema)
 
 
 def _need(n: np.ndarray, num: int, den: int) -> np.ndarray:
@@ -161,7 +161,7 @@ def _entries(docs: DataFrame, width: int, num: int, den: int, shared, frequent,
         if size:
             yield from flush(held)
 
-    return docs.mapInArrow(run, schema)
+    return mapped(docs, run, schema)
 
 
 def _product(packed: DataFrame, num: int, den: int, tasks: int) -> DataFrame:
@@ -207,7 +207,7 @@ def _product(packed: DataFrame, num: int, den: int, tasks: int) -> DataFrame:
                 yield pa.RecordBatch.from_pydict({"a": pa.array(a[s]), "b": pa.array(b_[s]), "na": pa.array(na[s]), "nb": pa.array(nb[s]), "both": pa.array(both[s]), "overlap": pa.array(count[k : k + 100_000].astype(np.int64))})
 
     dealt = packed.repartition(tasks, "block").sortWithinPartitions("block")
-    return dealt.mapInArrow(run, "a long, b long, na long, nb long, both long, overlap long")
+    return mapped(dealt, run, "a long, b long, na long, nb long, both long, overlap long")
 
 
 def _verified(pairs: DataFrame, docs: DataFrame, members: DataFrame, width: int, num: int, den: int) -> DataFrame:
@@ -233,10 +233,10 @@ def _verified(pairs: DataFrame, docs: DataFrame, members: DataFrame, width: int,
 
     nodes = pairs.select(F.col("a").alias("row")).unionByName(pairs.select(F.col("b").alias("row"))).distinct()
     wanted = nodes.join(members, "row").select("row", "doc_id")
-    exact = docs.join(wanted, "doc_id").select("row", "text").mapInArrow(sets, "row long, members binary")
+    exact = mapped(docs.join(wanted, "doc_id").select("row", "text"), sets, "row long, members binary")
     left = exact.select(F.col("row").alias("a"), F.col("members").alias("x"))
     right = exact.select(F.col("row").alias("b"), F.col("members").alias("y"))
-    return pairs.select("a", "b").join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(test, "a long, b long")
+    return mapped(pairs.select("a", "b").join(left, "a").join(right, "b").select("a", "b", "x", "y"), test, "a long, b long")
 
 
 def jaccard_components(docs: DataFrame, width: int = 5, num: int = 3, den: int = 4, hot: int = HOT) -> DataFrame:

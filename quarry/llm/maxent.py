@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quarry.llm import text as tx
-from quarry.llm.scratch import Scratch, runs
+from quarry.llm.scratch import Scratch, mapped, runs
 
 CLASSES, FEATURES, HEAD = 64, 1 << 14, 1 << 18
 #: Sizes of the updates, one a round.
@@ -94,7 +94,7 @@ def _summed(rows: DataFrame) -> np.ndarray:
             yield pa.RecordBatch.from_pydict({"part": pa.array([part], pa.int64()), "blob": pa.array([total.astype(np.float64).tobytes()], pa.binary())})
 
     out = np.zeros((FEATURES, CLASSES))
-    for row in rows.repartition("part").sortWithinPartitions("part").mapInArrow(add, "part long, blob binary").toLocalIterator():
+    for row in mapped(rows.repartition("part").sortWithinPartitions("part"), add, "part long, blob binary").toLocalIterator():
         out[row["part"] * PACK : (row["part"] + 1) * PACK] = np.frombuffer(row["blob"]).reshape(PACK, CLASSES)
     return out
 
@@ -132,7 +132,7 @@ def word_counts(train: DataFrame) -> DataFrame:
             for k in range(0, len(u), 100_000):
                 yield pa.RecordBatch.from_pydict({"word": pa.array(u[k : k + 100_000].view(np.int64)), "class": pa.array(c[k : k + 100_000], pa.int32()), "n": pa.array(n[k : k + 100_000])})
 
-    return train.select("text").mapInArrow(run, "word long, class int, n long").groupBy("word", "class").agg(F.sum("n").alias("n"))
+    return mapped(train.select("text"), run, "word long, class int, n long").groupBy("word", "class").agg(F.sum("n").alias("n"))
 
 
 def train_weights(train: DataFrame, per_class: np.ndarray, steps=STEPS) -> np.ndarray:
@@ -146,7 +146,7 @@ def train_weights(train: DataFrame, per_class: np.ndarray, steps=STEPS) -> np.nd
                 total += np.bincount(f * CLASSES + c, minlength=FEATURES * CLASSES)
         yield _packed(total.reshape(FEATURES, CLASSES))
 
-    seen = _summed(train.select("text").mapInArrow(observed, "part long, blob binary"))
+    seen = _summed(mapped(train.select("text"), observed, "part long, blob binary"))
     weights = np.zeros((FEATURES, CLASSES))
     weights[0] = prior
     expected = seen.sum(axis=1, keepdims=True) * np.exp(prior)
@@ -167,7 +167,7 @@ def train_weights(train: DataFrame, per_class: np.ndarray, steps=STEPS) -> np.nd
                             total.reshape(FEATURES, CLASSES)[u] += sums.reshape(len(u), CLASSES)
                 yield _packed(total.reshape(FEATURES, CLASSES))
 
-            expected = _summed(train.select("text").mapInArrow(model, "part long, blob binary"))
+            expected = _summed(mapped(train.select("text"), model, "part long, blob binary"))
             sent.unpersist()
         change = step * np.log((seen + 1.0) / (expected + 1.0))
         change[0] = 0
@@ -234,7 +234,7 @@ def score(docs: DataFrame, held_out=None, head: int = HEAD, steps=STEPS) -> Data
                     "word": pa.array(h[rare[new]].view(np.int64)), "class": pa.array(c[rare[new]], pa.int32()), "times": pa.array(np.diff(np.concatenate([new, [len(rare)]])), pa.int64()),
                 })
 
-    both = scratch.keep(rows.mapInArrow(run, schema), "scored")
+    both = scratch.keep(mapped(rows, run, schema), "scored")
     log_room = F.element_at(F.array(*[F.lit(float(np.log10(x))) for x in per_class + once + 1]), F.col("class") + 1)
     log_new = F.element_at(F.array(*[F.lit(float(np.log10((o + 1) / (n + o + 1)))) for n, o in zip(per_class, once, strict=True)]), F.col("class") + 1)
     tail = both.where("word is not null").select("uid", "word", "class", "times").join(counts.select("word", "n"), "word", "left")

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from quarry.llm.scratch import runs
+from quarry.llm.scratch import mapped, runs
 
 TREES, DEPTH, SEED = 16, 32, 7
 
@@ -151,7 +151,7 @@ def nearest(vectors: DataFrame, k: int = 20, every: int = 20, block: int = 8192,
                         })
 
     cells = both.repartition(max(1, min(blocks * batches, 4096)), "cell").sortWithinPartitions("cell", "ask", "vec_id")
-    found = cells.mapInArrow(run, "query_id long, vec_id long, score double")
+    found = mapped(cells, run, "query_id long, vec_id long, score double")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quarry.llm import text as tx
-from quarry.llm.scratch import Scratch
+from quarry.llm.scratch import Scratch, mapped
 
 #: Characters counted as symbols.
 SYMBOLS = b"#*$%&|<>"
@@ -104,7 +104,7 @@ def counts(docs: DataFrame, host: str = "source", window: int = 8) -> DataFrame:
             yield pa.RecordBatch.from_pydict({"doc_id": b.column("doc_id").cast(pa.int64()), "host": b.column("host"), **cols})
 
     picked = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(host).cast("string").alias("host"), "text")
-    return picked.mapInArrow(run, "doc_id long, host string, " + ", ".join(f"{k} long" for k in names))
+    return mapped(picked, run, "doc_id long, host string, " + ", ".join(f"{k} long" for k in names))
 
 
 def judged(counted: DataFrame, rules: Rules = Rules()) -> DataFrame:

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.scratch import Scratch
+from quarry.llm.scratch import Scratch, mapped
 
 MIN_CHARS = 12
 MARK = re.compile(r"^(?:[ \t]*>)+[ \t]?")
@@ -74,7 +74,7 @@ def parsed(messages: DataFrame) -> DataFrame:
             c, n, q, f, w = zip(*out, strict=True) if out else ((),) * 5
             yield pa.RecordBatch.from_pydict({"conv_id": b.column("conv_id"), "turn": b.column("turn"), "role": b.column("role"), "clean": pa.array(c, pa.string()), "n_quotes": pa.array(n, pa.int32()), "quote_level": pa.array(q, pa.int32()), "quotes": pa.array(f, pa.list_(pa.int64())), "written": pa.array(w, pa.list_(pa.int64()))})
 
-    return messages.select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), "role", "text").mapInArrow(run, schema)
+    return mapped(messages.select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), "role", "text"), run, schema)
 
 
 def link(messages: DataFrame) -> DataFrame:

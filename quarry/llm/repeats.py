@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quarry.llm import text as tx
-from quarry.llm.scratch import Buckets, Scratch, hit, often, runs, text_bytes, width_for
+from quarry.llm.scratch import Buckets, Scratch, hit, mapped, often, runs, text_bytes, width_for
 
 LENGTH, GRAM = 100, 32
 #: Occurrences from which an anchor's windows are dealt by their own strings.
@@ -46,6 +46,8 @@ FIELDS = ("anchor", "content", "doc", "start", "size")
 RECORD = np.dtype([("anchor", "<u8"), ("content", "<u8"), ("doc", "<i8"), ("start", "<i8"), ("size", "<i8")])
 #: Bytes of a very long document that are looked at together.
 PART = 1 << 22
+#: Suffixes whose bytes are compared together.
+CHUNK = 1 << 14
 
 
 def pieces(data: np.ndarray, off: np.ndarray, length: int = LENGTH, gram: int = GRAM):
@@ -139,14 +141,18 @@ def repeats(content: np.ndarray, start: np.ndarray, size: np.ndarray, group: np.
     most = int(room.max())
     most += -most % 8
     padded = np.concatenate([content, np.zeros(most, np.uint8)])
-    key = padded[pos[:, None] + np.arange(most)]
-    key[np.arange(most) >= room[:, None]] = 0
-    word = key.view(">u8").astype(np.uint64)
-    order = np.lexsort((*(word[:, c] for c in range(word.shape[1] - 1, -1, -1)), group[piece]))
+    key = np.lib.stride_tricks.sliding_window_view(padded, most)[pos]
+    chunks = [slice(a, a + CHUNK) for a in range(0, total, CHUNK)]  # so that masks stay small
+    for c in chunks:
+        key[c][np.arange(most) >= room[c, None]] = 0
+    word = key.view(">u8")
+    order = np.lexsort((*(word[:, c].astype(np.uint64) for c in range(word.shape[1] - 1, -1, -1)), group[piece]))
     key, pos, room, g = key[order], pos[order], room[order], group[piece][order]
     before = np.where(inner[order] > 0, padded[pos - 1].astype(np.int64), -1)
-    differ = key[1:] != key[:-1]
-    lcp = np.where(differ.any(axis=1), differ.argmax(axis=1), most)
+    lcp = np.full(total - 1, most)
+    for c in chunks:
+        differ = key[c][1:] != key[c][:-1] if c.stop >= total else key[c] != key[c.start + 1 : c.stop + 1]
+        lcp[c][: len(differ)] = np.where(differ.any(axis=1), differ.argmax(axis=1), most)
     lcp = np.minimum(lcp, np.minimum(room[1:], room[:-1]))
     lcp[g[1:] != g[:-1]] = 0
     lcp = np.concatenate([[0], lcp])
@@ -210,7 +216,7 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH) -> DataFrame:
         if part:
             yield pa.RecordBatch.from_pydict({"part": pa.array(part, pa.int64()), "blob": pa.array(blob, pa.binary())})
 
-    packed = scratch.keep(docs.select("text").mapInArrow(anchors, "part long, blob binary"), "anchors")
+    packed = scratch.keep(mapped(docs.select("text"), anchors, "part long, blob binary"), "anchors")
     twice, hot = (spark.sparkContext.broadcast(x) for x in often(packed, bits, (2, HOT)))
     scratch.drop("anchors")
     buckets = max(16, volume >> 22)
@@ -273,7 +279,7 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH) -> DataFrame:
                         "doc_id": none, "start": none, "end": none,
                     })
 
-        rows = docs.mapInArrow(take, "bucket int, records binary, content binary, doc_id long, start long, end long")
+        rows = mapped(docs, take, "bucket int, records binary, content binary, doc_id long, start long, end long")
         return rows.repartition(tasks, "bucket").sortWithinPartitions("bucket")
 
     def unpacked(blob: bytes) -> np.ndarray:
@@ -321,9 +327,9 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH) -> DataFrame:
                 yield pa.RecordBatch.from_pydict({"doc_id": pa.array(doc, pa.int64()), "start": pa.array(start, pa.int64()), "end": pa.array(end, pa.int64())})
 
     tasks = max(8, min(buckets, int(spark.conf.get("spark.sql.shuffle.partitions"))))
-    equal = scratch.keep(taken().mapInArrow(join_equal, "doc_id long, start long, end long, part long, blob binary"), "equal")
+    equal = scratch.keep(mapped(taken(), join_equal, "doc_id long, start long, end long, part long, blob binary"), "equal")
     differing = spark.sparkContext.broadcast(often(equal.where("part is not null"), bits, (1,))[0])
-    tree = scratch.keep(taken(differing).mapInArrow(by_tree, "doc_id long, start long, end long"), "tree")
+    tree = scratch.keep(mapped(taken(differing), by_tree, "doc_id long, start long, end long"), "tree")
     for sent in (twice, hot, differing):
         sent.unpersist()
     return equal.where("part is null").select("doc_id", "start", "end").unionByName(tree)
@@ -365,7 +371,7 @@ def remove(docs: DataFrame, spans: DataFrame, columns: list[str] | None = None)
             else:
                 yield pa.RecordBatch.from_arrays([pa.array(texts, pa.string()) if c == "text" else b.column(c) for c in wanted], names=wanted)
 
-    return both.mapInArrow(run, schema)
+    return mapped(both, run, schema)
 
 
 def op2_suffix_dedup(docs: DataFrame) -> DataFrame:

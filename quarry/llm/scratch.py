@@ -1,9 +1,10 @@
-"""Tables in the folder that driver and executors share, and bounded bitmaps of hashed keys."""
+"""Tables in the folder that driver and executors share, Arrow functions, and bounded bitmaps of hashed keys."""
 
 from __future__ import annotations
 
+import ctypes
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -47,6 +48,25 @@ class Scratch:
         path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def release() -> None:
+    """Gives freed memory back to the system; Python workers are kept for later tasks and would hold it."""
+    pa.default_memory_pool().release_unused()
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
+        trim(0)
+
+
+def mapped(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
+    """mapInArrow whose tasks leave no freed memory behind in their worker."""
+
+    def lean(batches):
+        try:
+            yield from run(batches)
+        finally:
+            release()
+
+    return df.mapInArrow(lean, schema)
+
+
 def runs(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[tuple[object, Iterator[pa.RecordBatch]]]:
     """Groups of a stream that is sorted by ``key``: the key, and an iterator of its rows that must be consumed."""
     state: dict = {"next": None}
@@ -136,7 +156,7 @@ def often(packed: DataFrame, bits: int, least: tuple[int, ...]) -> list[np.ndarr
             found = [np.packbits(total >= x).tobytes() for x in least]
             yield pa.RecordBatch.from_pydict({"part": pa.array([part] * len(least), pa.int64()), "which": pa.array(range(len(least)), pa.int32()), "bits": pa.array(found, pa.binary())})
 
-    found = packed.select("part", "blob").repartition("part").sortWithinPartitions("part").mapInArrow(count, "part long, which int, bits binary")
+    found = mapped(packed.select("part", "blob").repartition("part").sortWithinPartitions("part"), count, "part long, which int, bits binary")
     out = [np.zeros((1 << max(bits, LOW)) >> 3, np.uint8) for _ in least]
     width = (1 << LOW) >> 3
     for row in found.toLocalIterator():
