@@ -33,7 +33,7 @@ STEPS = (0.5, 0.3)
 END = np.uint64(0xE4D0F7E87A11C0DE)
 BEFORE = np.uint64(0xBE614414640F7E87)
 #: Feature rows in one packed row, and tokens that are scored together.
-PACK, CHUNK = 128, 1 << 14
+PACK, CHUNK = 128, 1 << 12
 
 
 def tokens(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -66,14 +66,27 @@ def features(hashes: np.ndarray, to: np.ndarray) -> np.ndarray:
     return np.stack([(tx.mix(s) % np.uint64(FEATURES - 1)).astype(np.int64) + 1 for s in sums])
 
 
-def log_classes(weights: np.ndarray, feats: np.ndarray) -> np.ndarray:
-    """Natural logarithms of the class probabilities, tokens x CLASSES."""
+def class_weights(weights: np.ndarray, feats: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Log-linear scores of the classes, tokens x CLASSES, at most 0; and their exponentials."""
     z = weights[feats[0]] + weights[0]
     for f in feats[1:]:
         z += weights[f]
     z -= z.max(axis=1, keepdims=True)
-    z -= np.log(np.exp(z).sum(axis=1, keepdims=True))
-    return z
+    return z, np.exp(z)
+
+
+def log_classes(weights: np.ndarray, feats: np.ndarray) -> np.ndarray:
+    """Natural logarithms of the class probabilities, tokens x CLASSES."""
+    z, e = class_weights(weights, feats)
+    return z - np.log(e.sum(axis=1, keepdims=True))
+
+
+def add_rows(total: np.ndarray, which: np.ndarray, rows: np.ndarray) -> None:
+    """Adds each row to the row of ``total`` that ``which`` names."""
+    order = np.argsort(which, kind="stable")
+    ordered = which[order]
+    first = np.flatnonzero(np.concatenate([[True], ordered[1:] != ordered[:-1]]))
+    total[ordered[first]] += np.add.reduceat(rows[order], first, axis=0)
 
 
 def _packed(matrix: np.ndarray) -> pa.RecordBatch:
@@ -155,17 +168,16 @@ def train_weights(train: DataFrame, per_class: np.ndarray, steps=STEPS) -> np.nd
             sent = spark.sparkContext.broadcast(weights.astype(np.float32))
 
             def model(batches, sent=sent):
-                w, total = sent.value, np.zeros(FEATURES * CLASSES)
+                w, total = sent.value, np.zeros((FEATURES, CLASSES))
                 for _, _, _, h, _, to in _spread(batches):
                     feats = features(h, to)
                     for a in range(0, len(h), CHUNK):
                         some = feats[:, a : a + CHUNK]
-                        p = np.exp(log_classes(w, some)).ravel()
+                        p = class_weights(w, some)[1]
+                        p /= p.sum(axis=1, keepdims=True)
                         for f in some:
-                            u, where = np.unique(f, return_inverse=True)
-                            sums = np.bincount((where[:, None] * CLASSES + np.arange(CLASSES)).ravel(), weights=p, minlength=len(u) * CLASSES)
-                            total.reshape(FEATURES, CLASSES)[u] += sums.reshape(len(u), CLASSES)
-                yield _packed(total.reshape(FEATURES, CLASSES))
+                            add_rows(total, f, p)
+                yield _packed(total)
 
             expected = _summed(mapped(train.select("text"), model, "part long, blob binary"))
             sent.unpersist()
@@ -206,8 +218,8 @@ def score(docs: DataFrame, held_out=None, head: int = HEAD, steps=STEPS) -> Data
             feats = features(h, to)
             log_class = np.empty(m)
             for a in range(0, m, CHUNK):
-                z = log_classes(w, feats[:, a : a + CHUNK])
-                log_class[a : a + CHUNK] = z[np.arange(len(z)), c[a : a + CHUNK]]
+                z, e = class_weights(w, feats[:, a : a + CHUNK])
+                log_class[a : a + CHUNK] = z[np.arange(len(z)), c[a : a + CHUNK]] - np.log(e.sum(axis=1))
             log_class /= np.log(10)
             at = np.minimum(np.searchsorted(heads, h), max(len(heads) - 1, 0))
             known = heads[at] == h if len(heads) else np.zeros(m, bool)
