@@ -83,10 +83,9 @@ def log_classes(weights: np.ndarray, feats: np.ndarray) -> np.ndarray:
 
 def add_rows(total: np.ndarray, which: np.ndarray, rows: np.ndarray) -> None:
     """Adds each row to the row of ``total`` that ``which`` names."""
-    order = np.argsort(which, kind="stable")
-    ordered = which[order]
-    first = np.flatnonzero(np.concatenate([[True], ordered[1:] != ordered[:-1]]))
-    total[ordered[first]] += np.add.reduceat(rows[order], first, axis=0)
+    u, where = np.unique(which, return_inverse=True)
+    sums = np.bincount((where[:, None] * CLASSES + np.arange(CLASSES)).ravel(), weights=rows.ravel(), minlength=len(u) * CLASSES)
+    total[u] += sums.reshape(len(u), CLASSES)
 
 
 def _packed(matrix: np.ndarray) -> pa.RecordBatch:
