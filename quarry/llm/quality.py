@@ -1,11 +1,13 @@
 """Operator 10, quality rules: rule failures by host, shrunk by an empirical beta prior and joined back.
 
 A document fails the *base* rules if it has fewer than ``min_words`` words or if more than ``max_repeat`` percent of
-its words lie in 8-word windows that the text holds twice or more.  *Soft* rules look at symbols and repeated lines.
-For each host (by default the column ``source``) the failures of soft rules are counted over all documents; a beta
-prior fitted to the hosts' rates by moments shrinks each host's rate, so that a host of few documents can't be judged
-on them alone.  A document is rejected if it fails a base rule, or if its host's shrunk rate is above ``host_rate`` and
-it fails a soft rule itself: clean documents of a bad host stay.
+its words lie in 8-word windows that the text holds twice or more.  *Soft* rules look at symbols and repeated lines; a
+soft failure is *strong* above ``strong`` times a rule's limit.  For each host (by default the column ``source``) the
+documents that fail any rule are counted; a beta prior fitted to the hosts' rates by moments (hosts of few documents count less) shrinks each host's rate,
+so that a host of few documents can't be judged on them alone.  A host is bad if its shrunk rate, less ``host_z``
+posterior deviations, has more than ``host_odds`` times the odds of the prior's mean: hosts are judged against each
+other.  A document is rejected if it fails a base rule, if it fails a soft rule strongly, or if it fails a soft rule and
+its host is bad: clean documents of a bad host stay.
 
 Edge cases: a null or empty text has no words and fails the base rules; a null host is a host of its own; repeated rows
 are judged each by itself; an empty table gives an empty table; other columns are not read and don't clash, because
@@ -18,7 +20,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quarry.llm import text as tx
@@ -35,7 +37,10 @@ class Rules:
     window: int = 8
     soft_symbols: float = 0.1  # of the words' characters
     soft_lines: float = 0.3  # repeated lines against lines
-    host_rate: float = 0.5
+    strong: float = 2.0  # times a soft limit, beyond which any host's document is rejected
+    host_odds: float = 2.0  # a bad host's odds of a failure against those of the prior's mean
+    host_docs: float = 20.0  # a host of so many documents counts half of a large one for the prior
+    host_z: float = 2.0  # posterior deviations by which a bad host is beyond them
 
 
 _SYMBOL = np.zeros(256, bool)
@@ -108,25 +113,35 @@ def counts(docs: DataFrame, host: str = "source", window: int = 8) -> DataFrame:
 
 
 def judged(counted: DataFrame, rules: Rules = Rules()) -> DataFrame:
-    """Adds base_failed, soft_failed, host_rate (shrunk) and kept to the rows of ``counts``.
+    """Adds base_failed, soft_failed, strong_failed, host_rate (shrunk), host_bad and kept to the rows of ``counts``.
 
     The hosts' failures are summed before the shuffle, and what is joined back has a row for each host.
     """
     base = (F.col("n_words") < rules.min_words) | (100 * F.col("n_repeat_words") > rules.max_repeat * F.col("n_words"))
-    soft = (F.col("n_symbols") > rules.soft_symbols * F.col("word_chars")) | (F.col("n_dup_lines") > rules.soft_lines * F.col("n_lines"))
-    rows = counted.withColumns({"base_failed": base, "soft_failed": soft})
-    hosts = rows.groupBy("host").agg(F.count("*").alias("n"), F.sum(F.col("soft_failed").cast("long")).alias("failed"))
+
+    def soft(times: float) -> Column:
+        return (F.col("n_symbols") > times * rules.soft_symbols * F.col("word_chars")) | (F.col("n_dup_lines") > times * rules.soft_lines * F.col("n_lines"))
+
+    rows = counted.withColumns({"base_failed": base, "soft_failed": soft(1.0), "strong_failed": soft(rules.strong)})
+    hosts = rows.groupBy("host").agg(F.count("*").alias("n"), F.sum((F.col("base_failed") | F.col("soft_failed")).cast("long")).alias("failed"))
     rate = F.try_divide(F.col("failed").cast("double"), F.col("n"))
-    # moments over hosts: mean m and variance v of the rates give the prior's weight m (1 - m) / v - 1
-    prior = hosts.agg(F.avg(rate).alias("m"), F.var_pop(rate).alias("v")).select(
+    # moments over hosts, those of few documents counting less: mean m and variance v of the rates give the prior's
+    # weight m (1 - m) / v - 1
+    share = F.col("n") / (F.col("n") + rules.host_docs)
+    sums = hosts.agg(F.sum(share).alias("s"), F.sum(share * rate).alias("r"), F.sum(share * rate * rate).alias("q"))
+    mean = F.try_divide("r", "s")
+    prior = sums.select(mean.alias("m"), F.greatest(F.try_divide("q", "s") - mean * mean, F.lit(0.0)).alias("v")).select(
         F.coalesce("m", F.lit(0.0)).alias("m"),
         F.least(F.greatest(F.coalesce(F.try_divide(F.col("m") * (1 - F.col("m")), F.col("v")) - 1, F.lit(1e6)), F.lit(1.0)), F.lit(1e6)).alias("weight"),
     )
-    shrunk = hosts.crossJoin(F.broadcast(prior)).select(F.col("host").alias("_host"), ((F.col("failed") + F.col("m") * F.col("weight")) / (F.col("n") + F.col("weight"))).alias("host_rate"))
+    shrunk = hosts.crossJoin(F.broadcast(prior)).withColumn("host_rate", (F.col("failed") + F.col("m") * F.col("weight")) / (F.col("n") + F.col("weight")))
+    low = F.col("host_rate") - rules.host_z * F.sqrt(F.greatest(F.col("host_rate") * (1 - F.col("host_rate")), F.lit(0.0)) / (F.col("n") + F.col("weight") + 1))
+    # odds against odds without a division: low / (1 - low) > host_odds * m / (1 - m)
+    shrunk = shrunk.select(F.col("host").alias("_host"), "host_rate", (low * (1 - F.col("m")) > rules.host_odds * F.col("m") * (1 - low)).alias("host_bad"))
     return (
         rows.join(shrunk, F.col("host").eqNullSafe(F.col("_host")), "left")
         .drop("_host")
-        .withColumn("kept", ~F.col("base_failed") & ~(F.col("soft_failed") & (F.coalesce("host_rate", F.lit(0.0)) > rules.host_rate)))
+        .withColumn("kept", ~F.col("base_failed") & ~F.col("strong_failed") & ~(F.col("soft_failed") & F.coalesce("host_bad", F.lit(False))))
     )
 
 

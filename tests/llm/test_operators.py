@@ -261,6 +261,25 @@ def test_quality(docs):
         assert not (failed and r["kept"])
 
 
+def test_quality_kept(spark):
+    """A host is bad against the others' rates, of all rules; strong soft failures go in any host, mild ones in bad hosts."""
+    rng = random.Random(8)
+    clean = lambda: " ".join("".join(rng.choices("abcdefgh", k=6)) for _ in range(40))
+    mild, strong, short = (lambda: clean() + " " + "#" * 40), (lambda: clean() + " " + "#" * 120), (lambda: "too short")
+    # of 100 documents of each host so many are mild, strong and short; "bad" is so by base failures, under a half of all
+    mix = {"bad": (10, 2, 30), "s1": (3, 1, 4), "s2": (5, 0, 4), "s3": (4, 2, 3), "s4": (2, 1, 6), None: (4, 1, 4)}
+    rows, want = [], {}
+    for host, (a, b, c) in mix.items():
+        for k in range(100):
+            kind = mild if k < a else strong if k < a + b else short if k < a + b + c else clean
+            want[len(rows)] = kind is clean or kind is mild and host != "bad"
+            rows.append((len(rows), kind(), host))
+    rows.append((len(rows), mild(), "tiny"))  # one document that fails doesn't make a host bad
+    want[len(rows) - 1] = True
+    got = {r["doc_id"]: r["kept"] for r in quality.op10_quality_rules(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()}
+    assert got == want
+
+
 def test_empty_tables(spark, empty):
     vectors = spark.createDataFrame([], "vec_id long, embedding array<float>")
     messages = spark.createDataFrame([], "conv_id long, turn long, role string, text string")
