@@ -4,10 +4,13 @@ Each row gets, for each of TREES trees, a string of DEPTH sign bits of random pr
 strings in order.  Rows are dealt over blocks of about ``block`` rows, and each block holds a forest of its own rows;
 queries are dealt to blocks in batches, so a task holds one block and one batch.  A query descends in every tree to the
 rows with the longest common prefix, by binary search, and then all trees ascend together, one bit at a time: the rows
-that a shorter prefix adds are scored.  It stops where rows that could still enter its list are likely seen: rows as
-near as its current last neighbour share a prefix of p bits with probability s ** p in a tree, s = 1 - angle / pi, so
-the chance to have missed one in all trees is (1 - s ** p) ** TREES; the ascent ends when that is below ``miss``, or at
-the root, where every row has been scored.  There is no cap on candidates.  The blocks' lists are merged by query.
+that a shorter prefix adds are scored.  It stops where rows that could still enter its list are likely seen: nearness
+is the inner product, so a row of norm n beats the current last neighbour's score if its cosine is above score / n; the
+widest such angle is that of the largest norm not yet seen (of the smallest, if the score is negative).  Rows within it
+share a prefix of p bits with probability s ** p or more in a tree, s = 1 - angle / pi, so the chance to have missed one
+in all trees is at most (1 - s ** p) ** TREES; the ascent ends when that is below ``miss``, or at the root, where every
+row has been scored.  Norms that differ much widen the angle, and more rows are scored.  There is no cap on candidates.  The blocks'
+lists are merged by query.
 
 Edge cases: a null vector, a zero one and one with null, NaN or infinite components takes no part, as query or
 candidate; so does one whose length differs from the most frequent length; repeated vectors tie and the smaller vec_id
@@ -66,6 +69,8 @@ class Forest:
         """For each query the vec_ids and scores of its k best rows found, ties to the smaller vec_id."""
         lo, hi = self.ranges(strings(rows, self.trees, self.depth))
         norm = np.linalg.norm(self.rows, axis=1)
+        by_norm = np.argsort(norm, kind="stable")
+        low, top = by_norm[:64], by_norm[::-1][:64]
         out = []
         for q in range(len(rows)):
             near = rows[q].astype(np.float32) / np.float32(max(np.linalg.norm(rows[q]), 1e-30))
@@ -76,10 +81,13 @@ class Forest:
                 p -= 1
             seen = np.zeros(len(self.ids), bool)
             score = np.full(len(self.ids), -np.inf, np.float32)
+            was = lo[:, q, p], lo[:, q, p]  # the ranges marked so far; a shorter prefix's holds them
             while True:
                 fresh = np.zeros(len(self.ids), bool)
-                for t in range(self.trees):
-                    fresh[self.order[t, lo[t, q, p] : hi[t, q, p]]] = True
+                for t, (a, b, c, d) in enumerate(zip(lo[:, q, p].tolist(), was[0].tolist(), was[1].tolist(), hi[:, q, p].tolist(), strict=True)):
+                    fresh[self.order[t, a:b]] = True
+                    fresh[self.order[t, c:d]] = True
+                was = lo[:, q, p], hi[:, q, p]
                 fresh &= ~seen
                 new = np.flatnonzero(fresh)
                 score[new] = (self.fast[new] @ near) * norm[new]
@@ -90,8 +98,14 @@ class Forest:
                 if found > k:
                     at = np.argpartition(score, len(score) - k - 1)[len(score) - k - 1 :]
                     last = at[score[at].argmin()]
-                    # prefixes follow the angle, so the last one's cosine stands for rows that could replace it
-                    cosine = float(np.clip(score[last] / max(norm[last], 1e-30), -1, 1)) if norm[last] else 0.0
+                    # prefixes follow the angle: the widest at which an unseen row could replace the last one
+                    if found == len(seen):
+                        break
+                    ends = top if score[last] >= 0 else low
+                    unseen = ends[~seen[ends]]  # the first of few is it unless all of them were seen
+                    rest = norm[unseen[:1]] if len(unseen) else norm[~seen]
+                    bound = rest.max() if score[last] >= 0 else rest.min()
+                    cosine = float(np.clip(score[last] / max(bound, 1e-30), -1, 1))
                     s = 1 - np.arccos(cosine) / np.pi
                     if (1 - s**p) ** self.trees < miss:
                         break

@@ -200,6 +200,20 @@ def test_neighbours(spark):
     assert [i for i, _ in got[0]] == list(range(100, 120))
 
 
+@pytest.mark.parametrize("sigma", [0.0, 1.0, 1.5])
+def test_neighbours_of_mixed_norms(sigma):
+    rng = np.random.default_rng(6)
+    x = rng.standard_normal((40, 64))[rng.integers(0, 40, 4096)] + 0.7 * rng.standard_normal((4096, 64))
+    x = x / np.linalg.norm(x, axis=1, keepdims=True) * rng.lognormal(0, sigma, (4096, 1))
+    found = neighbours.Forest(np.arange(4096), x).search(np.arange(60), x[:60], 20, 0.02)
+    hits = 0
+    for q, (ids, _) in enumerate(found):
+        score = x @ x[q]
+        score[q] = -np.inf
+        hits += len(set(ids.tolist()) & set(np.argsort(-score)[:20].tolist()))
+    assert hits >= 0.95 * 20 * 60
+
+
 def test_bpe(docs, enc):
     for r in bpe.op8_byte_bpe(docs).collect():
         ids = enc.encode_ordinary(TEXT[r["doc_id"]])
