@@ -6,17 +6,19 @@ form: with sources ordered by cap / weight, those before the first whose cap exc
 A source gives whole epochs first.  What is left of its target is filled by documents in the order of exponential keys
 -ln(u) / quality, u from a hash of doc_id and seed, so that reruns agree; keys are cut into BINS ranges per source
 whose words are summed first, and documents are ranked only inside a range, so no task sorts a source.  Only
-documents that end within the budget are taken; a second pass offers the gap that is left to the one largest
-document, not yet selected, that fits it.
+documents that end within the budget are taken.  Those that don't fit must not shut out what comes after them: the gap
+that is left is offered, in key order and by the same sums, to the documents not yet selected that fit it, again and
+again until none does.  Each round selects one document at least in every source that has a fitting one.
 
 Edge cases: a null or empty text has size 0 and takes 0 words; a null source is the last source; repeated rows are
-documents each in the draw and share one decision in the last pass; if no text has words all targets are 0; an empty
+documents each in the draw; if no text has words all targets are 0; an empty
 table gives an empty table; extra columns are not read.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -69,26 +71,37 @@ def mix(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), most: float = 3.0
     aims = keep.keep(aims.withColumnRenamed("source", "_source"), "aims")
     same = F.col("source").eqNullSafe(F.col("_source"))
 
+    cols = ["doc_id", "source", "size", "source_size", "target", "epochs", "key", "bin"]
+    todo, budgets, done, k = keyed.join(aims, same).drop("_source"), aims.select("_source", F.col("budget").alias("_budget")), [], 0
+    while True:
+        drawn = keep.keep(_draw(todo, budgets, ranges), f"drawn{k}").select(*cols, "budget", "picked")
+        gaps = drawn.groupBy("source").agg((F.first("budget") - F.sum(F.col("picked") * F.col("size"))).alias("_gap")).withColumnRenamed("source", "_source")
+        gaps = keep.keep(gaps, f"gaps{k}")
+        fits = (F.col("picked") == 0) & (F.col("size") > 0) & (F.col("size") <= F.col("_gap"))
+        offered = drawn.join(gaps, same).drop("_source").withColumn("_fits", F.coalesce(fits, F.lit(False)))
+        todo = offered.where("_fits").select(*cols, F.col("_gap").alias("budget"))
+        ranges = keep.keep(todo.groupBy("source", "bin").agg(F.sum("size").alias("bin_size")), f"ranges{k}")
+        budgets = gaps.withColumnRenamed("_gap", "_budget")
+        done.append(offered.where("not _fits").select(*cols, "picked"))
+        if ranges.isEmpty():
+            break
+        k += 1
+    return reduce(DataFrame.unionByName, done).select("doc_id", "source", "size", "source_size", "target", "epochs", "picked", ((F.col("epochs") + F.col("picked")) * F.col("size")).alias("taken"))
+
+
+def _draw(rows: DataFrame, budgets: DataFrame, ranges: DataFrame) -> DataFrame:
+    """Adds picked: 1 for rows that end within their source's budget in key order.  ranges: the words of each range of keys."""
     before = Window.partitionBy("source").orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)
-    starts = ranges.withColumn("bin_start", F.coalesce(F.sum("bin_size").over(before), F.lit(0))).join(aims, same).drop("_source")
+    starts = ranges.withColumn("bin_start", F.coalesce(F.sum("bin_size").over(before), F.lit(0))).join(budgets, F.col("source").eqNullSafe(F.col("_source"))).drop("_source")
     # a range that ends within the budget is taken whole, one that starts beyond it not at all; at most one is between
-    whole = starts.select(F.col("source").alias("_source"), F.col("bin").alias("_bin"), "source_size", "target", "epochs", "budget", "bin_start", (F.col("bin_start") + F.col("bin_size") <= F.col("budget")).alias("_whole"), (F.col("bin_start") < F.col("budget")).alias("_begun"))
-    placed = keyed.join(whole, same & (F.col("bin") == F.col("_bin"))).drop("_source", "_bin")
+    whole = starts.select(F.col("source").alias("_source"), F.col("bin").alias("_bin"), "bin_start", (F.col("bin_start") + F.col("bin_size") <= F.col("_budget")).alias("_whole"), (F.col("bin_start") < F.col("_budget")).alias("_begun"))
+    placed = rows.join(whole, F.col("source").eqNullSafe(F.col("_source")) & (F.col("bin") == F.col("_bin"))).drop("_source", "_bin")
     edge = Window.partitionBy("source", "bin").orderBy("key", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
     inside = placed.where(F.col("_begun") & ~F.col("_whole"))
     ranked = inside.withColumn("_before", F.col("bin_start") + F.coalesce(F.sum("size").over(edge), F.lit(0)))
     ranked = ranked.withColumn("picked", (F.col("_before") + F.col("size") <= F.col("budget")).cast("long"))
     settled = placed.where(~F.col("_begun") | F.col("_whole")).withColumns({"_before": F.lit(0).cast("long"), "picked": F.col("_whole").cast("long")})
-    drawn = settled.unionByName(ranked)
-
-    # what the draw leaves of each budget goes to the one document that fills it best
-    drawn = keep.keep(drawn.select("doc_id", "source", "size", "source_size", "target", "epochs", "budget", "picked", "key"), "drawn")
-    gaps = drawn.groupBy("source").agg((F.first("budget") - F.sum(F.col("picked") * F.col("size"))).alias("_gap")).withColumnRenamed("source", "_source")
-    fits = drawn.where((F.col("picked") == 0) & (F.col("size") > 0)).join(gaps, same).where(F.col("size") <= F.col("_gap"))
-    extra = fits.groupBy("source").agg(F.max(F.struct("size", "key", "doc_id")).alias("_best")).select(F.col("source").alias("_source"), "_best")
-    is_best = (F.col("picked") == 0) & (F.col("_best")["doc_id"] == F.col("doc_id")) & (F.col("_best")["size"] == F.col("size"))
-    done = drawn.join(extra, same, "left").withColumn("picked", F.when(F.coalesce(is_best, F.lit(False)), F.lit(1)).otherwise(F.col("picked")).cast("long"))
-    return done.select("doc_id", "source", "size", "source_size", "target", "epochs", "picked", ((F.col("epochs") + F.col("picked")) * F.col("size")).alias("taken"))
+    return settled.unionByName(ranked)
 
 
 def op9_mixing(docs: DataFrame) -> DataFrame:

@@ -254,6 +254,19 @@ def test_mixing(docs):
         assert target[s] == pytest.approx(want[s]) and abs(taken[s] - target[s]) <= 0.15 * target[s]
 
 
+def test_mixing_goes_on_past_long_texts(spark):
+    rows = [(i, " ".join(["word"] * (4000 if i % 50 == 7 else 5 + i % 17)), "ab"[i % 2]) for i in range(400)]
+    d = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    for weights, seed in (((5, 3), 42), ((5, 3), 7), ((3, 2), 1)):
+        by = defaultdict(list)
+        for r in mixing.mix(d, weights=weights, most=2.0, seed=seed).collect():
+            by[r["source"]].append(r)
+        assert sorted(r["doc_id"] for v in by.values() for r in v) == list(range(400))
+        for own in by.values():
+            gap = own[0]["target"] - sum(r["taken"] for r in own)
+            assert gap >= 0 and not [r for r in own if not r["picked"] and r["epochs"] < 2 and r["size"] <= gap]
+
+
 def test_mixing_agrees_with_itself(docs):
     key = lambda df: sorted((r["doc_id"], r["taken"]) for r in df.collect())
     assert key(mixing.mix(docs)) == key(mixing.mix(docs.repartition(3)))
