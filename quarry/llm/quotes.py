@@ -1,17 +1,19 @@
 """Operator 6, quotation linking: quoted passages lead a message to the one it answers.
 
 A line's quote level is the number of > marks, with spaces between, at its start.  Lines of one level in a row form a
-quoted passage; lines of level 0 are the message's own.  Passages, own lines, own paragraphs and whole own texts are
-normalised (lower case, runs of white space as one blank, marks and ends trimmed) and hashed.  The first writer of each
+quoted passage; lines of level 0 are the message's own.  Passages and own texts are cut alike, into the whole, paragraphs,
+lines and sentences (of paragraphs, so that other line breaks don't matter), normalised (lower case, runs of white space
+as one blank, marks and ends trimmed) and hashed.  The first writer of each
 hash, in its conversation and overall, is found by minima, so a passage of a million messages is one row there.  A
 message answers the first writer in its own conversation if that is an earlier turn, else the first writer overall if
 that is another message that comes before it by (conv_id, turn); of its passages the one of lowest level, then first,
-that finds a writer decides.  Roots and depths follow by pointer doubling, as many rounds as the logarithm of the longest
+that finds a writer decides, by its longest part that finds one: a passage of some paragraphs, lines or sentences of a
+longer message leads there too.  Roots and depths follow by pointer doubling, as many rounds as the logarithm of the longest
 chain.  Sorted by root, depth, conv_id and turn, every message stands after what it answers: ``threads`` gives them
 so, without quotes.
 
 Edge cases: a null or empty text quotes nothing and is written by nobody; messages with equal (conv_id, turn) are one
-node and keep a row each; null keys are never linked; passages under MIN_CHARS normalised characters don't link; an empty
+node and keep a row each; null keys are never linked; passages and parts under MIN_CHARS normalised characters don't link; an empty
 table gives an empty table; extra columns are not read.
 """
 
@@ -28,6 +30,8 @@ from quarry.llm.scratch import Scratch, mapped
 
 MIN_CHARS = 12
 MARK = re.compile(r"^(?:[ \t]*>)+[ \t]?")
+PARAGRAPH = re.compile(r"\n[ \t]*\n")
+SENTENCE = re.compile(r"(?<=[.!?])\s+")
 BLANK = re.compile(r"\s+")
 
 
@@ -59,6 +63,13 @@ def parse(text: str) -> tuple[str, list[tuple[int, str]]]:
     return re.sub(r"\n{3,}", "\n\n", "\n".join(own)).strip("\n") if passages else text, passages
 
 
+def parts(text: str) -> list[str]:
+    """The text, its paragraphs, lines and sentences, the longest first when normalised, then in order."""
+    paragraphs = PARAGRAPH.split(text)
+    found = [text, *paragraphs, *text.split("\n"), *(s for p in paragraphs for s in SENTENCE.split(p))]
+    return sorted(dict.fromkeys(found), key=lambda x: -len(normal(x)))
+
+
 def parsed(messages: DataFrame) -> DataFrame:
     """conv_id, turn, role, clean, n_quotes, quote_level, quotes (hashes in order), written (hashes) of each message."""
     schema = "conv_id long, turn long, role string, clean string, n_quotes int, quote_level int, quotes array<long>, written array<long>"
@@ -68,8 +79,8 @@ def parsed(messages: DataFrame) -> DataFrame:
             out = []
             for text in b.column("text"):
                 clean, passages = parse(text.as_py() or "")
-                found = [h for h in (_hash(p) for _, p in sorted(passages, key=lambda x: x[0])) if h is not None]
-                own = {_hash(x) for x in (clean, *clean.split("\n\n"), *clean.split("\n"))} - {None} if clean else set()
+                found = [h for h in dict.fromkeys(_hash(x) for _, p in sorted(passages, key=lambda x: x[0]) for x in parts(p)) if h is not None]
+                own = {_hash(x) for x in parts(clean)} - {None} if clean else set()
                 out.append((clean if text.is_valid else None, len(passages), max((level for level, _ in passages), default=0), found, sorted(own)))
             c, n, q, f, w = zip(*out, strict=True) if out else ((),) * 5
             yield pa.RecordBatch.from_pydict({"conv_id": b.column("conv_id"), "turn": b.column("turn"), "role": b.column("role"), "clean": pa.array(c, pa.string()), "n_quotes": pa.array(n, pa.int32()), "quote_level": pa.array(q, pa.int32()), "quotes": pa.array(f, pa.list_(pa.int64())), "written": pa.array(w, pa.list_(pa.int64()))})

@@ -179,6 +179,16 @@ def test_quotes(spark):
     assert order.index((1, 0)) < order.index((1, 1)) < order.index((1, 2))
 
 
+def test_partial_quotes(spark):
+    one, two, three = "The first paragraph is about apples.", "The second one is\nabout pears. They are green and sweet.", "The third is about plums,\nwhich are blue in autumn,\nand about nothing else."
+    long = f"{one}\n\n{two}\n\n{three}"
+    quote = lambda x: "\n".join(f"> {line}" for line in x.split("\n")) + "\nI agree with this."
+    asks = [f"{one}\n\n{two}", "which are blue in autumn,\nand about nothing else.", "They are green and sweet.", "The second one is about pears.", "it says here: pears of another kind altogether"]
+    rows = [(1, 0, "user", "Something else was said before all that."), (1, 1, "user", long), (1, 2, "user", "They are green and sweet.\nAnd so on.")] + [(1, 3 + k, "assistant", quote(x)) for k, x in enumerate(asks)]
+    got = {r["turn"]: r["parent_turn"] for r in quotes.link(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()}
+    assert got == {0: None, 1: None, 2: None, 3: 1, 4: 1, 5: 1, 6: 1, 7: None}
+
+
 def test_neighbours(spark):
     rng = np.random.default_rng(3)
     x = rng.standard_normal((600, 16)).astype(np.float32)
