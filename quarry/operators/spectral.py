@@ -28,7 +28,9 @@ def laplacian(a: np.ndarray, kind: str = "sym") -> np.ndarray:
 
 def diagnostics(x: np.ndarray, lap: np.ndarray, cut: float = 0.5) -> tuple[float, float, float, float]:
     """hfer, fiedler, smoothness, entropy."""
-    values, vectors = np.linalg.eigh((lap + lap.T) / 2)
+    lap = (lap + lap.T) / 2  # frees the caller's matrix if nothing else holds it
+    values, vectors = np.linalg.eigh(lap)
+    del lap
     energy = ((vectors.T @ x) ** 2).sum(axis=1)
     total = energy.sum()
     if total <= 0:
@@ -38,23 +40,28 @@ def diagnostics(x: np.ndarray, lap: np.ndarray, cut: float = 0.5) -> tuple[float
     return float(share[int(len(values) * cut) :].sum()), float(values[1]) if len(values) > 1 else 0.0, float((share * values).sum()), float(-(some * np.log(some)).sum())
 
 
-def by_group(df: DataFrame, key: str, vector: str, id_col: str, most: int = 256, kind: str = "sym", legacy_zero: bool = False) -> DataFrame:
+def by_group(df: DataFrame, key: str, vector: str, id_col: str, most: int | None = None, kind: str = "sym", legacy_zero: bool = False) -> DataFrame:
     """A graph of similar vectors for each group: weights max(0, cosine), signals the vectors themselves.
 
-    Groups are cut into parts of ``most`` vectors by id rank first, so that no eigendecomposition grows with the data.
+    A group is one graph, whole, whatever its size: a task holds its matrix of weights (8 n * n bytes, and some copies).
+    Only those who give ``most`` get parts of so many vectors by id rank, without the edges between parts.
     """
     from pyspark.sql import functions as F
     from pyspark.sql.window import Window
 
-    part = F.floor((F.row_number().over(Window.partitionBy(key).orderBy(id_col)) - 1) / most).cast("int")
+    part = F.floor((F.row_number().over(Window.partitionBy(key).orderBy(id_col)) - 1) / most).cast("int") if most else F.lit(0)
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         try:
             x = np.stack(pdf.sort_values(id_col)[vector].to_numpy()).astype(float)
             unit = x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
-            a = np.maximum(unit @ unit.T, 0)
+            a = unit @ unit.T
+            np.maximum(a, 0, out=a)
             np.fill_diagonal(a, 0)
-            got = diagnostics(x, laplacian(a, kind))
+            a = laplacian(a, kind)
+            held = [a]
+            del a
+            got = diagnostics(x, held.pop())
         except Exception:  # a failed matrix is a null, or zeros for those who ask for them
             got = (0.0,) * 4 if legacy_zero else (None,) * 4
         return pd.DataFrame([(pdf[key].iloc[0], pdf["part"].iloc[0], len(pdf), *got)], columns=["group_id", "part", "n", "hfer", "fiedler", "smoothness", "entropy"])

@@ -148,3 +148,15 @@ def test_files(spark, tmp_path):
         run_once(spark.readStream.schema(df.schema).parquet(f"{tmp_path}/in"), f"{tmp_path}/out", f"{tmp_path}/cp")
     assert spark.read.parquet(f"{tmp_path}/out").count() == 2
     assert report.markdown(df.orderBy("row_id")).splitlines()[2] == "| 1 | A |" and r"\midrule" in report.latex(df, "k")
+
+
+def test_groups_come_whole(spark):
+    x = np.random.default_rng(9).standard_normal((300, 8))
+    df = spark.createDataFrame([(i, 1, v.tolist()) for i, v in enumerate(x)], "vec_id long, label int, embedding array<double>")
+    got = spectral.by_group(df, "label", "embedding", "vec_id").collect()
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    a = np.maximum(unit @ unit.T, 0)
+    np.fill_diagonal(a, 0)
+    d = a.sum(axis=1)
+    values = np.linalg.eigvalsh(np.eye(300) - a / np.sqrt(d[:, None] * d[None, :]))
+    assert len(got) == 1 and (got[0]["part"], got[0]["n"]) == (0, 300) and got[0]["fiedler"] == pytest.approx(values[1], abs=1e-9)
