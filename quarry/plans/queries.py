@@ -123,7 +123,7 @@ def _defined() -> dict[str, tuple[Q, str | None]]:
         "welch_t": (lambda s, d: rounded(effects.welch(layers(s, d), ml), 5), f"WITH {LAYERS}, {_MOM.format(k='metric, layer')} SELECT metric, layer, round({_T}, 5) AS t, round((v1 / n1 + v0 / n0) * (v1 / n1 + v0 / n0) / nullif(v1 / n1 * v1 / n1 / (n1 - 1) + v0 / n0 * v0 / n0 / (n0 - 1), 0), 5) AS df FROM m WHERE n1 > 1 AND n0 > 1"),
         "welch_p": (lambda s, d: effects.welch(layers(s, d), ml, p=True), None),
         "bh_adjust": (lambda s, d: rounded(effects.benjamini_hochberg(effects.welch(layers(s, d), ml).withColumn("p", F.exp(-F.abs("t"))), ["metric"]).select("metric", "layer", "p", "p_adjusted", "significant")), f"WITH {LAYERS}, {_MOM.format(k='metric, layer')}, p AS (SELECT metric, layer, exp(-abs({_T})) AS p FROM m WHERE n1 > 1 AND n0 > 1), r AS (SELECT *, p * count(*) OVER (PARTITION BY metric) / row_number() OVER (PARTITION BY metric ORDER BY p) AS raw FROM p), q AS (SELECT *, least(1e0, min(raw) OVER (PARTITION BY metric ORDER BY p DESC RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)) AS adj FROM r) SELECT metric, layer, round(p, 6) AS p, round(adj, 6) AS p_adjusted, adj < 0.05e0 AS significant FROM q"),
-        "bootstrap_ci": (lambda s, d: effects.bootstrap_auc(doc_features(s, d), k, draws=200), None),
+        "bootstrap_ci": (lambda s, d: effects.bootstrap_auc(doc_features(s, d), k), None),
         "class_balance": (lambda s, d: rounded(labelled(s, d).agg(F.count("*").alias("n"), F.sum("y").cast("long").alias("pos"), F.avg("y").alias("rate"))), f"SELECT count(*) AS n, CAST(sum({ylab}) AS BIGINT) AS pos, round(avg({ylab}), 6) AS rate FROM labels"),
         "domain_counts_8way": (lambda s, d: table(s, d, "documents").groupBy(text.domain("text", text.EIGHT).alias("domain")).agg(F.count("*").alias("n")), f"SELECT {_case('text', text.EIGHT, 'other')} AS domain, count(*) AS n FROM documents GROUP BY 1"),
         "domain_custom": (lambda s, d: table(s, d, "documents").groupBy(text.domain("text", KEYWORDS).alias("domain")).agg(F.count("*").alias("n")), f"SELECT {_case('text', KEYWORDS, 'other')} AS domain, count(*) AS n FROM documents GROUP BY 1"),

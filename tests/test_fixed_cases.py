@@ -160,3 +160,12 @@ def test_groups_come_whole(spark):
     d = a.sum(axis=1)
     values = np.linalg.eigvalsh(np.eye(300) - a / np.sqrt(d[:, None] * d[None, :]))
     assert len(got) == 1 and (got[0]["part"], got[0]["n"]) == (0, 300) and got[0]["fiedler"] == pytest.approx(values[1], abs=1e-9)
+
+
+def test_bootstrap_query_draws(spark, monkeypatch):
+    from quarry.plans import queries
+
+    seen, own = [], effects.F.sequence
+    monkeypatch.setattr(effects.F, "sequence", lambda a, b, *c: (seen.append(b), own(a, b, *c))[1])
+    queries.queries()["bootstrap_ci"](spark, "/root/testdata/sf0.001")
+    assert [str(x) for x in seen] == ["Column<'999'>"]
