@@ -11,23 +11,33 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Where intermediate tables go if the session names no shared folder (single-machine tests only).
+#: Where intermediate tables go on a single machine whose session names no shared folder.
 LOCAL = "/tmp/checkpoints/quarry"
 
 
 def folder(spark: SparkSession) -> str:
-    """The shared folder named in spark.checkpoint.dir; LOCAL where it is unset."""
-    return (spark.sparkContext.getConf().get("spark.checkpoint.dir") or LOCAL).rstrip("/")
+    """The shared folder named in spark.checkpoint.dir; LOCAL where it is unset and all tasks run on this machine."""
+    found = spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not found and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return (found or LOCAL).rstrip("/")
 
 
 class Scratch:
-    """Writes intermediate tables below the shared folder; ``drop`` deletes those that no result reads any more."""
+    """Writes intermediate tables below the shared folder; ``drop`` deletes those that no result reads any more.
 
-    made: list[Scratch] = []
+    What is left is deleted when the driver's JVM ends, as results read it until then; ``opened`` gives the folders
+    made while a function runs, for callers that can tell earlier.
+    """
+
+    opened: list[list[Scratch]] = []
 
     def __init__(self, spark: SparkSession):
         self.spark, self.top = spark, f"{folder(spark)}/quarry-{uuid.uuid4().hex}"
-        Scratch.made.append(self)
+        path = spark._jvm.org.apache.hadoop.fs.Path(self.top)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(path)
+        for made in Scratch.opened:
+            made.append(self)
 
     def keep(self, df: DataFrame, name: str) -> DataFrame:
         df.write.mode("overwrite").parquet(f"{self.top}/{name}")
@@ -111,6 +121,26 @@ def unpack(blob: bytes) -> np.ndarray:
     return np.cumsum(gaps, dtype=np.int64)[gaps != 255]
 
 
+def pack64(ascending: np.ndarray) -> bytes:
+    """Ascending 64-bit numbers: the first, and gaps of as many bytes as the widest takes."""
+    if not len(ascending):
+        return b""
+    gaps = np.diff(ascending)
+    wide = max(1, (int(gaps.max()).bit_length() + 7) // 8) if len(gaps) else 1
+    return bytes([wide]) + ascending[:1].tobytes() + gaps.view(np.uint8).reshape(-1, 8)[:, :wide].tobytes()
+
+
+def unpack64(blob) -> np.ndarray:
+    raw = np.frombuffer(blob, np.uint8) if len(blob) else np.zeros(0, np.uint8)
+    if not len(raw):
+        return np.zeros(0, np.uint64)
+    wide = int(raw[0])
+    gaps = np.zeros(((len(raw) - 9) // wide + 1, 8), np.uint8)
+    gaps[0] = raw[1:9]
+    gaps[1:, :wide] = raw[9:].reshape(-1, wide)
+    return np.cumsum(gaps.reshape(-1).view(np.uint64), dtype=np.uint64)
+
+
 #: Low bits of a bucket that one packed row covers.
 LOW = 16
 
