@@ -31,9 +31,10 @@ LEAF = 24
 
 
 class Vocabulary:
-    def __init__(self, path: str):
-        with open(path, "rb") as lines:
-            self.rank = {base64.b64decode(a): int(b) for a, b in (x.split() for x in lines if x.strip())}
+    """Tokens and their ranks, from lines of a token in base64 and its rank."""
+
+    def __init__(self, lines: bytes):
+        self.rank = {base64.b64decode(a): int(b) for a, b in (x.split() for x in lines.splitlines() if x.strip())}
         self.token = {v: k for k, v in self.rank.items()}
         self._well: dict[tuple[int, int], bool] = {}
 
@@ -128,21 +129,32 @@ class Pieces(dict):
         return ids
 
 
-_loaded: dict[str, Pieces] = {}
+_loaded: dict[bytes, Pieces] = {}
+
 
+def pieces_of(lines: bytes) -> Pieces:
+    """A worker's pieces of a vocabulary; kept for its later tasks."""
+    key = hashlib.sha256(lines).digest()
+    if key not in _loaded:
+        _loaded.clear()
+        _loaded[key] = Pieces(Vocabulary(lines))
+    return _loaded[key]
 
-def pieces_of(path: str) -> Pieces:
-    if path not in _loaded:
-        _loaded[path] = Pieces(Vocabulary(path))
-    return _loaded[path]
+
+def read(path: str) -> bytes:
+    """The lines of a vocabulary file, read on the driver: executors get them by broadcast and need no such file."""
+    with open(path, "rb") as f:
+        return f.read()
 
 
 def encode(docs: DataFrame, path: str, pattern: str, with_ids: bool = False) -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256 and, if asked for, ids (array of int) for every row."""
     schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * with_ids
 
+    sent = docs.sparkSession.sparkContext.broadcast(read(path))
+
     def run(batches):
-        known = pieces_of(path)
+        known = pieces_of(sent.value)
         split, lookup, decode = regex.compile(pattern).findall, known.__getitem__, known.vocabulary.decode
         for b in batches:
             count, digest, back, kept = [], [], [], []
