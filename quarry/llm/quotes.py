@@ -8,8 +8,9 @@ hash, in its conversation and overall, is found by minima, so a passage of a mil
 message answers the first writer in its own conversation if that is an earlier turn, else the first writer overall if
 that is another message that comes before it by (conv_id, turn); of its passages the one of lowest level, then first,
 that finds a writer decides, by its longest part that finds one: a passage of some paragraphs, lines or sentences of a
-longer message leads there too.  Roots and depths follow by pointer doubling, as many rounds as the logarithm of the longest
-chain.  Sorted by root, depth, conv_id and turn, every message stands after what it answers: ``threads`` gives them
+longer message leads there too.  Passages that very many messages quote are joined by broadcast, as there are few of them.
+Roots and depths follow by pointer doubling, as many rounds as the logarithm of the longest chain; a message that has come
+to its root takes no further part, so that what is joined isn't many rows of one root.  Sorted by root, depth, conv_id and turn, every message stands after what it answers: ``threads`` gives them
 so, without quotes.
 
 Edge cases: a null or empty text quotes nothing and is written by nobody; messages with equal (conv_id, turn) are one
@@ -26,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.scratch import Scratch, mapped
+from quarry.llm.scratch import Scratch, join_spread, mapped
 
 MIN_CHARS = 12
 MARK = re.compile(r"^(?:[ \t]*>)+[ \t]?")
@@ -98,21 +99,23 @@ def link(messages: DataFrame) -> DataFrame:
     here = written.groupBy("hash", "conv_id").agg(F.min("turn").alias("here"))
     anywhere = written.groupBy("hash").agg(F.min(F.struct("conv_id", "turn")).alias("first"))
     me = F.struct("conv_id", "turn")
-    target = F.when(F.col("here") < F.col("turn"), F.struct(F.col("conv_id"), F.col("here").alias("turn"))).when(F.col("first") < me, F.col("first"))
-    found = quotes.join(here, ["hash", "conv_id"], "left").join(anywhere, "hash", "left").withColumn("target", target).where("target is not null")
-    parents = scratch.keep(found.groupBy("conv_id", "turn").agg(F.min(F.struct("order", "target"))["target"].alias("parent")).select("conv_id", "turn", "parent"), "parents")
+    node = F.struct("conv_id", F.col("here").alias("turn"))
+    of = lambda keys: quotes.where("hash is not null").groupBy(*keys).agg(F.count("*").alias("size"))
+    near = join_spread(quotes, here, ["hash", "conv_id"], of(["hash", "conv_id"]), scratch, "near").where("here < turn").select("conv_id", "turn", "order", F.lit(0).alias("far"), node.alias("target"))
+    away = join_spread(quotes, anywhere, ["hash"], of(["hash"]), scratch, "away").where(F.col("first") < me).select("conv_id", "turn", "order", F.lit(1).alias("far"), F.col("first").alias("target"))
+    found = near.unionByName(away).groupBy("conv_id", "turn").agg(F.min(F.struct("order", "far", "target"))["target"].alias("parent"))
+    parents = scratch.keep(found, "parents")
 
     # up: the ancestor 2**k links away; a link leads to an earlier message, so there are no cycles
     up = parents.select(F.struct("conv_id", "turn").alias("node"), F.col("parent").alias("up"), F.lit(1).cast("long").alias("depth"))
-    k = 0
-    while not up.isEmpty():
-        above = up.select(F.col("node").alias("up"), F.col("up").alias("next"), F.col("depth").alias("more"))
-        joined = up.join(above, "up", "left")
+    children = parents.select(F.struct("conv_id", "turn").alias("up")).withColumn("child", F.lit(True))
+    state = lambda df: df.join(children, "up", "left").select("node", "up", "depth", F.col("child").isNotNull().alias("open"))
+    up, k = scratch.keep(state(up), "up0"), 0
+    while up.where("open").limit(1).count():
+        above = up.select(F.col("node").alias("up"), F.col("up").alias("next"), F.col("depth").alias("more"), F.col("open").alias("on"))
+        step = up.where("open").join(above, "up").select("node", F.col("next").alias("up"), (F.col("depth") + F.col("more")).alias("depth"), F.col("on").alias("open"))
         k += 1
-        step = scratch.keep(joined.select("node", F.coalesce("next", "up").alias("up"), (F.col("depth") + F.coalesce("more", F.lit(0))).alias("depth"), F.col("next").isNotNull().alias("moved")), f"up{k}")
-        up = step.drop("moved")
-        if not step.where("moved").limit(1).count():
-            break
+        up = scratch.keep(up.where("not open").unionByName(step), f"up{k}")
     tops = up.select(F.col("node")["conv_id"].alias("conv_id"), F.col("node")["turn"].alias("turn"), F.col("up").alias("root"), "depth")
     keys = ["conv_id", "turn"]
     out = rows.join(parents, keys, "left").join(tops, keys, "left")
