@@ -9,6 +9,7 @@ whose words are summed first, and documents are ranked only inside a range, so n
 documents that end within the budget are taken.  Those that don't fit must not shut out what comes after them: the gap
 that is left is offered, in key order and by the same sums, to the documents not yet selected that fit it, again and
 again until none does.  Each round selects one document at least in every source that has a fitting one.
+Windows over sources hold a row for each source, in one task: they suit as many sources as a task can hold rows.
 
 Edge cases: a null or empty text has size 0 and takes 0 words; a null source is the last source; repeated rows are
 documents each in the draw; if no text has words all targets are 0; an empty
@@ -55,11 +56,19 @@ def targets(sources: DataFrame, weights: Sequence[float] = (5, 2, 1), most: floa
     return levels.select("source", "source_size", F.when(F.col("cap") > first * F.col("weight"), first * F.col("weight")).otherwise(F.col("cap")).cast("double").alias("target"))
 
 
+def identity() -> list[Column]:
+    """Two hashes of doc_id, text and source that rows share only if these are equal, nulls included."""
+    names = ("doc_id", "text", "source")
+    whole = [F.col("doc_id").cast("long"), F.col("text"), F.col("source").cast("string"), *[F.col(c).isNull() for c in names]]
+    return [F.xxhash64(F.lit(k), *whole).alias(f"k{k}") for k in (1, 2)]
+
+
 def mix(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), most: float = 3.0, seed: int = 42, quality=default_quality, bins: int = BINS) -> DataFrame:
-    """doc_id, source, size, source_size, target, epochs, picked and taken = (epochs + picked) * size for every row."""
+    """doc_id, source, size, source_size, target, epochs, picked and taken = (epochs + picked) * size for every row; k1 and
+    k2 are the row's ``identity``."""
     keep = Scratch(docs.sparkSession)
     u = (F.shiftrightunsigned(F.xxhash64("doc_id", F.lit(seed)), 11).cast("double") + 0.5) / float(1 << 53)
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"), F.col("text").alias("_text"))
+    rows = docs.select(*identity(), F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"), F.col("text").alias("_text"))
     keyed = rows.withColumn("key", -F.log(u) / quality(F.col("_text"), F.col("size"))).drop("_text")
     keyed = keep.keep(keyed.withColumn("bin", F.least(F.floor((1 - F.exp(-F.col("key"))) * bins), F.lit(bins - 1)).cast("int")), "keyed")
 
@@ -71,7 +80,7 @@ def mix(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), most: float = 3.0
     aims = keep.keep(aims.withColumnRenamed("source", "_source"), "aims")
     same = F.col("source").eqNullSafe(F.col("_source"))
 
-    cols = ["doc_id", "source", "size", "source_size", "target", "epochs", "key", "bin"]
+    cols = ["k1", "k2", "doc_id", "source", "size", "source_size", "target", "epochs", "key", "bin"]
     todo, budgets, done, k = keyed.join(aims, same).drop("_source"), aims.select("_source", F.col("budget").alias("_budget")), [], 0
     while True:
         drawn = keep.keep(_draw(todo, budgets, ranges), f"drawn{k}").select(*cols, "budget", "picked")
@@ -86,7 +95,21 @@ def mix(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), most: float = 3.0
         if ranges.isEmpty():
             break
         k += 1
-    return reduce(DataFrame.unionByName, done).select("doc_id", "source", "size", "source_size", "target", "epochs", "picked", ((F.col("epochs") + F.col("picked")) * F.col("size")).alias("taken"))
+    return reduce(DataFrame.unionByName, done).select("k1", "k2", "doc_id", "source", "size", "source_size", "target", "epochs", "picked", ((F.col("epochs") + F.col("picked")) * F.col("size")).alias("taken"))
+
+
+def taken(docs: DataFrame, **how) -> DataFrame:
+    """The mix itself: each row of ``docs`` as often as it is taken.
+
+    Rows that are equal in doc_id, text and source stand for each other: together they are there as often as ``mix`` takes
+    them.
+    """
+    times = mix(docs, **how).groupBy("k1", "k2").agg(F.sum(F.col("epochs") + F.col("picked")).cast("int").alias("times"), F.count("*").alias("rows")).where("times > 0")
+    times = Scratch(docs.sparkSession).keep(times, "times")
+    whole = docs.select(F.struct(*docs.columns).alias("doc"), *identity())
+    single = whole.join(times.where("rows = 1"), ["k1", "k2"])
+    several = whole.join(times.where("rows > 1"), ["k1", "k2"]).dropDuplicates(["k1", "k2"])
+    return single.unionByName(several).withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("times")))).select("doc.*")
 
 
 def _draw(rows: DataFrame, budgets: DataFrame, ranges: DataFrame) -> DataFrame:

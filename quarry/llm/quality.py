@@ -20,6 +20,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -97,19 +98,21 @@ def measure(data: np.ndarray, off: np.ndarray, window: int = 8) -> dict[str, np.
     return dict(zip(names, (n_words, chars, symbols, n_lines, n_dup, repeat), strict=True))
 
 
-def counts(docs: DataFrame, host: str = "source", window: int = 8) -> DataFrame:
-    """doc_id, host and the counts of ``measure`` for every document."""
+def counts(docs: DataFrame, host: str = "source", window: int = 8, carry: bool = False) -> DataFrame:
+    """doc_id, host and the counts of ``measure`` for every document; with ``carry`` also its whole row, as ``doc``."""
     names = ("n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_repeat_words")
 
     def run(batches):
         for b in batches:
-            data, off = tx.utf8(b.column("text"))
+            data, off = tx.utf8(pc.struct_field(b.column("doc"), "text") if carry else b.column("text"))
             got = [measure(data[off[i] : off[j]], off[i : j + 1] - off[i], window) for i, j in tx.slices(off)]
             cols = {k: pa.array(np.concatenate([g[k] for g in got]) if got else np.zeros(0, np.int64), pa.int64()) for k in names}
-            yield pa.RecordBatch.from_pydict({"doc_id": b.column("doc_id").cast(pa.int64()), "host": b.column("host"), **cols})
+            yield pa.RecordBatch.from_pydict({"doc_id": b.column("doc_id").cast(pa.int64()), "host": b.column("host"), **cols} | ({"doc": b.column("doc")} if carry else {}))
 
-    picked = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(host).cast("string").alias("host"), "text")
-    return mapped(picked, run, "doc_id long, host string, " + ", ".join(f"{k} long" for k in names))
+    whole = F.struct(*docs.columns).alias("doc")
+    picked = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(host).cast("string").alias("host"), whole if carry else F.col("text"))
+    more = ", doc " + docs.select(whole).schema["doc"].dataType.simpleString() if carry else ""
+    return mapped(picked, run, "doc_id long, host string, " + ", ".join(f"{k} long" for k in names) + more)
 
 
 def judged(counted: DataFrame, rules: Rules = Rules()) -> DataFrame:
@@ -150,5 +153,11 @@ def quality_rules(docs: DataFrame, host: str = "source", rules: Rules = Rules())
     return judged(counted, rules)
 
 
+def kept(docs: DataFrame, host: str = "source", rules: Rules = Rules()) -> DataFrame:
+    """The rows of ``docs`` that the rules keep; each row carries its own verdict, so ids may repeat or lack."""
+    counted = Scratch(docs.sparkSession).keep(counts(docs, host, rules.window, carry=True), "counts")
+    return judged(counted, rules).where("kept").select("doc.*")
+
+
 def op10_quality_rules(docs: DataFrame) -> DataFrame:
     return quality_rules(docs).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "host_rate")
