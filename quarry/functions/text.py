@@ -18,9 +18,13 @@ SIX = {
     "Search": ["search", "weather", "news", "find", "locate"],
     "Travel": ["flight", "hotel", "travel", "booking", "trip"],
 }
+GENERAL = "general"  # what the three-way taxonomy calls the rest in domain heatmaps
 ROLES = {"USER": "user", "ASSISTANT": "assistant", "FUNCTION RESPONSE": "tool"}
 
 
+TOOL_ROLES = ("tool", "function", "function response")
+
+
 def domain(text: Column | str, rules: dict[str, list[str]], other: str = "other") -> Column:
     """The first rule of which a keyword is in the text."""
     low = F.lower(F.col(text) if isinstance(text, str) else text)
@@ -33,6 +37,19 @@ def domain(text: Column | str, rules: dict[str, list[str]], other: str = "other"
     return out.otherwise(other)
 
 
+def domain_match(text: Column | str, keywords: list[str], on: bool = False) -> Column:
+    """Whether a text has one of the keywords; always true unless ``on``, as data preparation leaves the filter off."""
+    low, hit = F.lower(F.col(text) if isinstance(text, str) else text), F.lit(False)
+    for k in keywords:
+        hit = hit | low.contains(k)
+    return hit if on else F.lit(True)
+
+
+def is_tool_call(text: Column | str) -> Column:
+    c = F.col(text) if isinstance(text, str) else text
+    return c.contains("{") & c.contains("}")
+
+
 def squeeze(text: Column | str) -> Column:
     """Without any white space, of Unicode too."""
     return F.regexp_replace(text, r"(?U)\s+", "")
@@ -56,7 +73,7 @@ def chat_turns(text: Column | str, end: str = "<|endoftext|>") -> Column:
 
 def merge_turns(messages: Column | str) -> Column:
     """Tool turns become the user's; neighbours of one role join with a blank line."""
-    roled = F.transform(messages, lambda m: F.struct(F.when(m["role"].isin("tool", "function"), "user").otherwise(m["role"]).alias("role"), m["content"].alias("content")))
+    roled = F.transform(messages, lambda m: F.struct(F.when(m["role"].isin(*TOOL_ROLES), "user").otherwise(m["role"]).alias("role"), m["content"].alias("content")))
 
     def add(acc, m):
         last = F.element_at(acc, -1)
@@ -80,7 +97,7 @@ def merge_turn_rows(df: DataFrame, conv: str, turn: str, role: Column, text: str
 
 def target_turn(messages: Column | str, tool_only: bool = False) -> Column:
     """The last assistant turn, with braces if ``tool_only``."""
-    ok = lambda m: (m["role"] == "assistant") & ((m["content"].contains("{") & m["content"].contains("}")) if tool_only else F.lit(True))
+    ok = lambda m: (m["role"] == "assistant") & (is_tool_call(m["content"]) if tool_only else F.lit(True))
     return F.try_element_at(F.filter(messages, ok), F.lit(-1))
 
 
@@ -110,3 +127,30 @@ def list_literal(text: Column | str) -> Column:
 def ellipsis(text: Column | str, most: int = 40) -> Column:
     c = F.col(text) if isinstance(text, str) else text
     return F.when(F.length(c) > most, F.concat(F.substring(c, 1, most - 3), F.lit("..."))).otherwise(c)
+
+
+def first_turns(messages: Column | str) -> Column:
+    """The last system message, the first user turn and the first assistant turn after it, as a struct of texts."""
+    m = F.col(messages) if isinstance(messages, str) else messages
+    of = lambda x, role: F.filter(x, lambda t: t["role"] == role)
+    at = F.array_position(F.transform(m, lambda t: t["role"]), "user")
+    after = F.when(at > 0, F.slice(m, F.greatest(at, F.lit(1)).cast("int"), F.greatest(F.size(m), F.lit(1))))
+    return F.struct(F.try_element_at(of(m, "system"), F.lit(-1))["content"].alias("system"), F.try_element_at(of(m, "user"), F.lit(1))["content"].alias("user"), F.try_element_at(of(after, "assistant"), F.lit(1))["content"].alias("assistant"))
+
+
+def short_label(feature: Column | str) -> Column:
+    """L22 of L22_HFER: short, and the same for two metrics of a layer."""
+    return F.split_part(F.col(feature) if isinstance(feature, str) else feature, F.lit("_"), F.lit(1))
+
+
+def full_label(features: Column | str) -> Column:
+    return F.array_join(features, ", ")
+
+
+def safe_filename(name: Column | str) -> Column:
+    """Letters, digits, blanks as underscores; other punctuation goes."""
+    return F.regexp_replace(F.regexp_replace(name, r"[^A-Za-z0-9 _-]", ""), " ", "_")
+
+
+def display_name(model: Column | str) -> Column:
+    return F.regexp_replace(model, "-8B|-7B", "")

@@ -1,33 +1,47 @@
 """ROC and PR analytics from one cumulative table by distinct score.
 
-Scores are summed by distinct value first (with map-side combination), so the windows run over distinct scores and not
-over rows; all of F1-F12 are projections of that table.  ``keys`` name the groups, e.g. dataset, domain, feature.
+Scores are summed by distinct value first (with map-side combination), so running sums are over distinct scores and not
+over rows, and over ranges of them, so a group of very many scores isn't one task's; all of F1-F12 are projections of that
+table.  ``keys`` name the groups, e.g. dataset, domain, feature.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
+
+from quarry.operators import ranks
 
 
 def by_score(df: DataFrame, keys: list[str]) -> DataFrame:
     return df.groupBy(*keys, "value").agg(F.sum("y").cast("double").alias("p"), F.sum(1 - F.col("y")).cast("double").alias("n"))
 
 
+def cumulative(df: DataFrame, keys: list[str]) -> DataFrame:
+    """keys, value, p, n and for either class the rows of smaller scores (below_p, below_n) and of all (all_p, all_n)."""
+    return ranks.running(by_score(df, keys), keys, "value", ["p", "n"])
+
+
 def auc(df: DataFrame, keys: list[str]) -> DataFrame:
     """Tie-aware area: negatives below count one, tied ones a half.  Null for a single class."""
-    below = Window.partitionBy(*keys).orderBy("value").rowsBetween(Window.unboundedPreceding, -1)
-    won = by_score(df, keys).withColumn("won", F.col("p") * (F.coalesce(F.sum("n").over(below), F.lit(0.0)) + F.col("n") / 2))
+    won = cumulative(df, keys).withColumn("won", F.col("p") * (F.col("below_n") + F.col("n") / 2))
     return won.groupBy(*keys).agg(F.try_divide(F.sum("won"), F.sum("p") * F.sum("n")).alias("auc"), F.sum("p").cast("long").alias("pos"), (F.sum("p") + F.sum("n")).cast("long").alias("n"))
 
 
+def auc_or_half(df: DataFrame, keys: list[str]) -> DataFrame:
+    """The area without a NaN policy: one NaN or null score in a group makes it 0.5."""
+    bad = df.groupBy(*keys).agg(F.max(F.isnan("value") | F.col("value").isNull()).alias("bad"))
+    own = auc(df.where(F.col("value").isNotNull()), keys)
+    bad = bad.withColumnsRenamed({k: f"_{k}" for k in keys})
+    return bad.join(own, ranks.same(keys), "left").select(*[F.col(f"_{k}").alias(k) for k in keys], F.when(F.col("bad"), F.lit(0.5)).otherwise(F.col("auc")).alias("auc"))
+
+
 def pearson() -> Column:
     return F.try_divide(F.covar_pop("value", F.col("y").cast("double")), F.stddev_pop("value") * F.stddev_pop(F.col("y").cast("double")))
 
 
 def directed(df: DataFrame, keys: list[str], rule: str = "auc") -> DataFrame:
-    """auc with a direction: by the area, by Pearson (< 0 flips), strictly (only > 0 keeps), or not at all."""
+    """auc with a direction: by the area, by Pearson (< 0 flips), strictly (only > 0 keeps), inverted (> 0 flips), or not at all."""
     found = auc(df, keys)
     if rule == "auc":
         flip = F.col("auc") < 0.5
@@ -35,28 +49,33 @@ def directed(df: DataFrame, keys: list[str], rule: str = "auc") -> DataFrame:
         flip = F.lit(False)
     else:
         found = found.join(df.groupBy(*keys).agg(pearson().alias("corr")), keys)
-        flip = F.coalesce(F.col("corr") < 0, F.lit(False)) if rule == "pearson" else ~F.coalesce(F.col("corr") > 0, F.lit(False))
+        up, down = (F.coalesce(x, F.lit(False)) for x in (F.col("corr") > 0, F.col("corr") < 0))
+        flip = {"pearson": down, "pearson_strict": ~up, "inverted": up}[rule]
     return found.withColumn("direction", F.when(flip, "Negative").otherwise("Positive")).withColumn("auc", F.when(flip, 1 - F.col("auc")).otherwise(F.col("auc")))
 
 
 def curve(df: DataFrame, keys: list[str], start: bool = False) -> DataFrame:
     """threshold, tp, fp and totals for "value >= threshold"; with ``start`` also the point that predicts nothing."""
-    down = Window.partitionBy(*keys).orderBy(F.desc("value")).rowsBetween(Window.unboundedPreceding, 0)
-    everything = Window.partitionBy(*keys)
-    table = by_score(df, keys).select(*keys, F.col("value").alias("threshold"), F.sum("p").over(down).alias("tp"), F.sum("n").over(down).alias("fp"), F.sum("p").over(everything).alias("pos"), F.sum("n").over(everything).alias("neg"))
+    at_least = lambda c: (F.col(f"all_{c}") - F.col(f"below_{c}"))
+    table = cumulative(df, keys).select(*keys, F.col("value").alias("threshold"), at_least("p").alias("tp"), at_least("n").alias("fp"), F.col("all_p").alias("pos"), F.col("all_n").alias("neg"))
     if start:
         top = table.groupBy(*keys).agg(F.first("pos").alias("pos"), F.first("neg").alias("neg")).withColumns({"threshold": F.lit(float("inf")), "tp": F.lit(0.0), "fp": F.lit(0.0)})
         table = table.unionByName(top)
     return rates(table)
 
 
-def rates(df: DataFrame) -> DataFrame:
-    """tpr (recall), fpr, specificity, balanced accuracy, precision, f1; 0 where a divisor is 0."""
-    z = lambda a, b: F.coalesce(F.try_divide(a, b), F.lit(0.0))
+def rates(df: DataFrame, guarded: bool = True) -> DataFrame:
+    """tpr (recall), fpr, specificity, balanced accuracy, precision, f1; where a divisor is 0, 0 if guarded, else null."""
+    z = lambda a, b: F.coalesce(F.try_divide(a, b), F.lit(0.0)) if guarded else F.try_divide(a, b)
     out = df.withColumns({"tpr": z(F.col("tp"), F.col("pos")), "fpr": z(F.col("fp"), F.col("neg")), "precision": z(F.col("tp"), F.col("tp") + F.col("fp"))})
     return out.withColumns({"specificity": 1 - F.col("fpr"), "balanced": (F.col("tpr") + 1 - F.col("fpr")) / 2, "j": F.col("tpr") - F.col("fpr"), "f1": z(2 * F.col("precision") * F.col("tpr"), F.col("precision") + F.col("tpr") + F.lit(1e-8))})
 
 
+def detected(points: DataFrame) -> DataFrame:
+    """tp = recall x positives and detected, its nearest whole number, from points of a curve."""
+    return points.withColumns({"tp": F.col("tpr") * F.col("pos"), "detected": F.round(F.col("tpr") * F.col("pos")).cast("long")})
+
+
 def best(df: DataFrame, keys: list[str], objective: str = "youden", floor: float = 0.005) -> DataFrame:
     """One operating point a group: highest J then threshold; highest F1 then lowest threshold; or highest precision with
     recall above ``floor``, then recall, then lowest threshold."""
@@ -73,12 +92,12 @@ def predicted(comparator: str, threshold: Column | str = "threshold", value: str
     return {">=": v >= t, ">": v > t, "<": v < t}[comparator]
 
 
-def confusion(df: DataFrame, keys: list[str], thresholds: DataFrame, comparator: str = ">=") -> DataFrame:
+def confusion(df: DataFrame, keys: list[str], thresholds: DataFrame, comparator: str = ">=", guarded: bool = True) -> DataFrame:
     """tp, fp, fn, tn and rates of thresholds (keys, threshold) applied to rows, e.g. calibrated on other data."""
     hit, y = predicted(comparator), F.col("y") == 1
     n = lambda c: F.count_if(c).cast("double")
     counts = df.join(F.broadcast(thresholds.select(*keys, "threshold")), keys).groupBy(*keys).agg(n(hit & y).alias("tp"), n(hit & ~y).alias("fp"), n(~hit & y).alias("fn"), n(~hit & ~y).alias("tn"), n(y).alias("pos"), n(~y).alias("neg"))
-    return rates(counts)
+    return rates(counts, guarded)
 
 
 def class_report(df: DataFrame, keys: list[str], thresholds: DataFrame, comparator: str = ">=") -> DataFrame:

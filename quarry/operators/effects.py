@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import zlib
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -10,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from quarry.operators import curves
+from quarry.operators import curves, ranks
 
 
 def _of(label: int):
@@ -24,6 +25,12 @@ def profile(df: DataFrame, keys: list[str], ddof: int = 0) -> DataFrame:
     return out.withColumns({f"{n}_{s}": F.col(f"{n}_mean") + sign * F.col(f"{n}_std") for n in "vi" for s, sign in (("upper", 1), ("lower", -1))})
 
 
+def class_means(df: DataFrame, keys: list[str]) -> DataFrame:
+    """v_mean and i_mean, 0 for an empty class, and the medians, null for one."""
+    filled = lambda k: F.coalesce(F.avg(_of(k)), F.lit(0.0))
+    return df.groupBy(*keys).agg(filled(0).alias("v_mean"), filled(1).alias("i_mean"), F.median(_of(0)).alias("v_median"), F.median(_of(1)).alias("i_median"))
+
+
 def moments(df: DataFrame, keys: list[str]) -> DataFrame:
     parts = [f.alias(f"{s}{k}") for k in (0, 1) for s, f in (("n", F.count(_of(k)).cast("double")), ("m", F.avg(_of(k))), ("v", F.var_samp(_of(k))))]
     return df.groupBy(*keys).agg(*parts)
@@ -69,9 +76,8 @@ def student_tails(t: pd.Series, df: pd.Series) -> pd.Series:
 
 def mann_whitney(df: DataFrame, keys: list[str], p: bool = False) -> DataFrame:
     """U of class 1 and its tie-corrected z with continuity correction; with ``p`` the two-sided normal p, 1 if undefined."""
-    below = Window.partitionBy(*keys).orderBy("value").rowsBetween(Window.unboundedPreceding, -1)
     t = F.col("p") + F.col("n")
-    rows = curves.by_score(df, keys).withColumns({"won": F.col("p") * (F.coalesce(F.sum("n").over(below), F.lit(0.0)) + F.col("n") / 2), "ties": t * t * t - t})
+    rows = curves.cumulative(df, keys).withColumns({"won": F.col("p") * (F.col("below_n") + F.col("n") / 2), "ties": t * t * t - t})
     g = rows.groupBy(*keys).agg(F.sum("won").alias("u"), F.sum("p").alias("n1"), F.sum("n").alias("n0"), F.sum("ties").alias("ties"))
     n = F.col("n1") + F.col("n0")
     sigma = F.sqrt(F.col("n1") * F.col("n0") / 12 * (n + 1 - F.try_divide(F.col("ties"), n * (n - 1))))
@@ -97,28 +103,56 @@ def benjamini_hochberg(df: DataFrame, family: list[str], p: str = "p", alpha: fl
     return ranked.withColumn("p_adjusted", adjusted).withColumn("significant", F.col("p_adjusted") < alpha).drop("_raw")
 
 
-def bootstrap_auc(df: DataFrame, keys: list[str], draws: int = 1000, alpha: float = 0.05, seed: int = 42, rule: str = "interpolated") -> DataFrame:
+def bootstrap_auc(df: DataFrame, keys: list[str], draws: int = 1000, alpha: float = 0.05, seed: int = 42, rule: str = "interpolated", fallback: tuple[float, float] | None = None) -> DataFrame:
     """lo and hi of the area over resamples; ``index`` picks sorted[int(alpha / 2 * n)], one-class draws are left out.
 
-    A row's multiplicity in a draw is Poisson(1) from a hash of row, draw and seed: resampling without a driver index,
-    the same on any partitioning.  Draws are a column exploded beside the rows and summed by distinct score first.
+    A row's multiplicity in a draw is Poisson(1), so a distinct score of p positives and n negatives stands for Poisson(p)
+    and Poisson(n) rows: draws are made for distinct scores, in ranges of them, by a generator seeded with the range and
+    ``seed``, the same on any partitioning.  A range gives each draw's rows and wins within it; those across ranges follow
+    from sums.  ``fallback`` stands for groups without a draw of two classes.
     """
-    u = F.pmod(F.xxhash64("row_id", "draw", F.lit(seed)), F.lit(1 << 53)).cast("double") / float(1 << 53)
-    steps, acc = [], 0.0
-    for k in range(9):
-        acc += math.exp(-1) / math.factorial(k)
-        steps.append(F.when(u >= acc, 1).otherwise(0))
-    times = sum(steps[1:], steps[0])
-    rows = df.withColumn("draw", F.explode(F.sequence(F.lit(0), F.lit(draws - 1)))).withColumn("w", times).where("w > 0")
-    sums = rows.groupBy(*keys, "draw", "value").agg(F.sum(F.col("y") * F.col("w")).cast("double").alias("p"), F.sum((1 - F.col("y")) * F.col("w")).cast("double").alias("n"))
-    below = Window.partitionBy(*keys, "draw").orderBy("value").rowsBetween(Window.unboundedPreceding, -1)
-    won = sums.withColumn("won", F.col("p") * (F.coalesce(F.sum("n").over(below), F.lit(0.0)) + F.col("n") / 2))
-    areas = won.groupBy(*keys, "draw").agg(F.try_divide(F.sum("won"), F.sum("p") * F.sum("n")).alias("a")).where("a is not null")
+    import numpy as np
+
+    scores = ranks.binned(curves.by_score(df, keys).where("value is not null"), keys, "value")
+
+    def resampled(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("value")
+        p, n = pdf["p"].to_numpy(), pdf["n"].to_numpy()
+        rng = np.random.default_rng([seed, int(pdf["_bin"].iloc[0]), zlib.crc32(repr([pdf[k].iloc[0] for k in keys]).encode())])
+        got = []
+        for at in range(0, draws, 50):
+            a, b = (rng.poisson(x, (min(50, draws - at), len(x))).astype(float) for x in (p, n))
+            got.append((a.sum(axis=1), b.sum(axis=1), (a * (np.cumsum(b, axis=1) - b / 2)).sum(axis=1)))
+        a, b, won = (np.concatenate(x) for x in zip(*got, strict=True))
+        head = {k: [pdf[k].iloc[0]] * draws for k in keys}
+        return pd.DataFrame({**head, "_bin": pdf["_bin"].iloc[0], "draw": np.arange(draws), "a": a, "b": b, "won": won})
+
+    named = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in scores.select(*keys).schema.fields)
+    parts = scores.groupBy(*keys, "_bin").applyInPandas(resampled, f"{named}, _bin int, draw int, a double, b double, won double")
+    below = Window.partitionBy(*keys, "draw").orderBy("_bin").rowsBetween(Window.unboundedPreceding, -1)
+    won = parts.withColumn("won", F.col("won") + F.col("a") * F.coalesce(F.sum("b").over(below), F.lit(0.0)))
+    areas = won.groupBy(*keys, "draw").agg(F.try_divide(F.sum("won"), F.sum("a") * F.sum("b")).alias("a"))
     if rule == "index":
-        s = areas.groupBy(*keys).agg(F.sort_array(F.collect_list("a")).alias("s"))
-        pick = lambda q: F.element_at("s", F.least(F.floor(q * F.size("s")) + 1, F.size("s")).cast("int"))
-        return s.select(*keys, pick(alpha / 2).alias("lo"), pick(1 - alpha / 2).alias("hi"))
-    return areas.groupBy(*keys).agg(F.percentile("a", alpha / 2).alias("lo"), F.percentile("a", 1 - alpha / 2).alias("hi"))
+        s = areas.groupBy(*keys).agg(F.sort_array(F.collect_list("a")).alias("s"))  # one number a draw; nulls aren't collected
+        pick = lambda q: F.try_element_at("s", F.least(F.floor(q * F.size("s")) + 1, F.greatest(F.size("s"), F.lit(1))).cast("int"))
+        out = s.select(*keys, pick(alpha / 2).alias("lo"), pick(1 - alpha / 2).alias("hi"))
+    else:
+        out = areas.groupBy(*keys).agg(F.percentile("a", alpha / 2).alias("lo"), F.percentile("a", 1 - alpha / 2).alias("hi"))
+    return out if fallback is None else out.withColumns({"lo": F.coalesce("lo", F.lit(fallback[0])), "hi": F.coalesce("hi", F.lit(fallback[1]))})
+
+
+def verdict(auc: str = "auc", bands: tuple[tuple[float, str], ...] = ((0.95, "excellent"), (0.90, "very good"), (0.85, "good")), other: str = "lower than expected"):
+    """The first band whose floor the area reaches."""
+    out = None
+    for floor, name in bands:
+        hit = F.col(auc) >= floor
+        out = F.when(hit, name) if out is None else out.when(hit, name)
+    return out.otherwise(other)
+
+
+def gap_verdict(gap: str = "gap"):
+    """How well a detector carries over, from the difference of its areas."""
+    return F.when(F.abs(gap) < 0.05, "excellent").when(F.abs(gap) < 0.10, "good").otherwise("overfit")
 
 
 def stars(p: str = "p"):

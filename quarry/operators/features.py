@@ -7,7 +7,8 @@ import sys
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
+
+from quarry.operators import ranks
 
 METRICS = ("HFER", "Fiedler", "Smoothness", "Entropy")
 
@@ -48,10 +49,16 @@ def clean(df: DataFrame, policy: str, column: str = "value") -> DataFrame:
 
 
 def enough(df: DataFrame, keys: list[str], rows: int = 0, positives: int = 2, negatives: int = 2) -> DataFrame:
-    """Groups with enough rows of each class."""
-    w = Window.partitionBy(*keys)
-    counted = df.withColumns({"_n": F.count("*").over(w), "_p": F.sum("y").over(w)})
-    return counted.where((F.col("_n") >= rows) & (F.col("_p") >= positives) & (F.col("_n") - F.col("_p") >= negatives)).drop("_n", "_p")
+    """Groups with enough rows of each class; classes are counted first, with map-side combination."""
+    n, p = F.count("*"), F.sum("y")
+    good = df.groupBy(*keys).agg(n.alias("_n"), p.alias("_p")).where((F.col("_n") >= rows) & (F.col("_p") >= positives) & (F.col("_n") - F.col("_p") >= negatives))
+    good = good.select(*[F.col(k).alias(f"_{k}") for k in keys])
+    return df.join(good, ranks.same(keys), "left_semi")
+
+
+def negated(df: DataFrame, features: list[str]) -> DataFrame:
+    """The long table with the values of some features negated."""
+    return df.withColumn("value", F.when(F.col("feature").isin(features), -F.col("value")).otherwise(F.col("value")))
 
 
 def standardized(df: DataFrame, keys: list[str]) -> DataFrame:

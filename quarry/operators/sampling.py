@@ -2,20 +2,26 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
+
+from quarry.operators import ranks
 
 
 def order(id_col: str, seed: int) -> Column:
     return F.md5(F.concat(F.col(id_col).cast("string"), F.lit(f"|{seed}")))
 
 
-def stratified(df: DataFrame, id_col: str, per_class: dict[int, int], seed: int = 42, label: str = "y") -> DataFrame:
-    """n rows of each class; top-n by aggregated bounds would do the same, the window keeps n per class and task."""
-    rank = F.row_number().over(Window.partitionBy(label).orderBy(order(id_col, seed), id_col))
-    quota = F.element_at(F.create_map(*[x for k, n in per_class.items() for x in (F.lit(k), F.lit(n))]), F.col(label).cast("int"))
-    return df.withColumn("_r", rank).where(F.col("_r") <= quota).drop("_r")
+def stratified(df: DataFrame, id_col: str, per_class: dict[int, int], seed: int = 42, label: str = "y", strict: bool = False) -> DataFrame:
+    """n rows of each class, each a top-n of which tasks send n rows at most; ``strict`` raises if a class is short."""
+    if strict:
+        have = {r[label]: r["count"] for r in df.where(F.col(label).isin(list(per_class))).groupBy(label).count().collect()}
+        short = {k: n for k, n in per_class.items() if have.get(k, 0) < n}
+        if short:
+            raise ValueError(f"classes with too few rows: {short}")
+    return reduce(DataFrame.unionByName, [df.where(F.col(label) == k).orderBy(order(id_col, seed), id_col).limit(n) for k, n in per_class.items()])
 
 
 def holdout(df: DataFrame, id_col: str, per_class: dict[int, int], seed: int = 42, label: str = "y", by_content: list[str] | None = None) -> tuple[DataFrame, DataFrame]:
@@ -32,5 +38,12 @@ def simple(df: DataFrame, id_col: str, n: int, seed: int = 42) -> DataFrame:
 
 
 def folds(df: DataFrame, id_col: str, k: int = 5, seed: int = 42, label: str = "y") -> DataFrame:
-    rank = F.row_number().over(Window.partitionBy(label).orderBy(order(id_col, seed), id_col))
-    return df.withColumn("fold", ((rank - 1) % k).cast("int"))
+    """Stratified folds: the row's number in its class, by hash, modulo k.  Hashes are even, so their first digits are ranges."""
+    hashed = df.withColumn("_hash", order(id_col, seed))
+    placed = ranks.numbered(hashed, [label], F.substring("_hash", 1, 2), ["_hash", id_col], "_r")
+    return placed.withColumn("fold", ((F.col("_r") - 1) % k).cast("int")).drop("_hash", "_r")
+
+
+def few_folds(positives: int) -> int:
+    """Folds for small studies: 3, or 2 below three positives."""
+    return 2 if positives < 3 else 3

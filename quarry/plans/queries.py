@@ -105,14 +105,14 @@ def _defined() -> dict[str, tuple[Q, str | None]]:
         "feature_auc_directed": (lambda s, d: rounded(auc_of(s, d).orderBy(F.desc("auc"), "feature").limit(10)), f"WITH {DOCS}, {_areas('feature')} SELECT feature, round(greatest(auc, 1 - auc), 6) AS auc, pos, n, CASE WHEN auc < 0.5e0 THEN 'Negative' ELSE 'Positive' END AS direction FROM a ORDER BY 2 DESC, 1 LIMIT 10"),
         "layer_auc": (lambda s, d: rounded(curves.auc(layers(s, d), ml)), f"WITH {LAYERS}, {_areas('metric, layer')} SELECT metric, layer, round(auc, 6) AS auc, pos, n FROM a"),
         "direction_pearson": (lambda s, d: rounded(curves.directed(doc_features(s, d), k, "pearson_strict").select("feature", "auc", "direction", "corr")), f"WITH {DOCS}, {_areas('feature')}, r AS (SELECT feature, {_CORR} AS corr FROM x GROUP BY feature) SELECT a.feature, round(CASE WHEN corr > 0 THEN auc ELSE 1 - auc END, 6) AS auc, CASE WHEN corr > 0 THEN 'Positive' ELSE 'Negative' END AS direction, round(corr, 6) AS corr FROM a JOIN r ON a.feature = r.feature"),
-        "roc_curve": (lambda s, d: rounded(curves.curve(layers(s, d).where("metric <> 'l_extendedprice'"), ["metric"]).select("metric", "threshold", "tp", "fp", "tpr", "fpr")), f"WITH {LAYERS.replace('x AS', 'x0 AS', 1)}, x AS (SELECT * FROM x0 WHERE metric <> 'l_extendedprice'), {_areas('metric')}, {_curve('metric')} SELECT metric, {r6(['threshold', 'tp', 'fp', 'tpr', 'fpr'])} FROM c"),
-        "pr_curve": (lambda s, d: rounded(curves.curve(layers(s, d).where("metric <> 'l_extendedprice'"), ["metric"]).select("metric", "threshold", "precision", F.col("tpr").alias("recall"), "f1")), f"WITH {LAYERS.replace('x AS', 'x0 AS', 1)}, x AS (SELECT * FROM x0 WHERE metric <> 'l_extendedprice'), {_areas('metric')}, {_curve('metric')} SELECT metric, round(threshold, 6) AS threshold, round(precision, 6) AS precision, round(tpr, 6) AS recall, round(f1, 6) AS f1 FROM c"),
+        "roc_curve": (lambda s, d: rounded(curves.curve(layers(s, d), ["metric"]).select("metric", "threshold", "tp", "fp", "tpr", "fpr")), f"WITH {LAYERS}, {_areas('metric')}, {_curve('metric')} SELECT metric, {r6(['threshold', 'tp', 'fp', 'tpr', 'fpr'])} FROM c"),
+        "pr_curve": (lambda s, d: rounded(curves.curve(layers(s, d), ["metric"]).select("metric", "threshold", "precision", F.col("tpr").alias("recall"), "f1")), f"WITH {LAYERS}, {_areas('metric')}, {_curve('metric')} SELECT metric, round(threshold, 6) AS threshold, round(precision, 6) AS precision, round(tpr, 6) AS recall, round(f1, 6) AS f1 FROM c"),
         "youden_threshold": (lambda s, d: rounded(curves.best(doc_features(s, d), k).select(*point)), f"WITH {DOCS}, {_areas('feature')}, {_curve('feature', True)} " + pts.format(pick.format(o="j DESC, threshold DESC", w=""))),
         "best_f1_point": (lambda s, d: rounded(curves.best(doc_features(s, d), k, "f1").select(*point)), f"WITH {DOCS}, {_areas('feature')}, {_curve('feature')} " + pts.format(pick.format(o="f1 DESC, threshold", w=""))),
         "max_precision_point": (lambda s, d: rounded(curves.best(doc_features(s, d), k, "precision").select(*point)), f"WITH {DOCS}, {_areas('feature')}, {_curve('feature')} " + pts.format(pick.format(o="precision DESC, tpr DESC, threshold", w="WHERE tpr > 0.005e0"))),
         "confusion_at_threshold": (lambda s, d: rounded(curves.confusion(doc_features(s, d), k, youden(s, d)).select("feature", "tp", "fp", "fn", "tn", "precision", F.col("tpr").alias("recall"))), f"WITH {DOCS}, {_areas('feature')}, {_curve('feature', True)}, {thr}, {conf.format(op='>=')} SELECT feature, tp, fp, fn, tn, round(coalesce(tp / nullif(tp + fp, 0), 0), 6) AS precision, round(coalesce(tp / nullif(tp + fn, 0), 0), 6) AS recall FROM q"),
         "calibrate_validate": (lambda s, d: rounded(curves.confusion(other_half(s, d), k, curves.best(first_half(s, d), k).select("feature", "threshold"), ">").select("feature", "tp", "fp", "fn", "tn", "balanced")), f"WITH {half}, {_areas('feature')}, {_curve('feature', True)}, {thr}, {conf.format(op='>').replace('FROM x JOIN', 'FROM x0 x JOIN').replace('x.feature = t.feature', 'x.feature = t.feature AND row_id % 2 = 1')} SELECT feature, tp, fp, fn, tn, round((coalesce(tp / nullif(tp + fn, 0), 0) + 1 - coalesce(fp / nullif(fp + tn, 0), 0)) / 2, 6) AS balanced FROM q"),
-        "class_report": (lambda s, d: rounded(curves.class_report(doc_features(s, d), k, youden(s, d)).select("feature", "class", "precision", "recall", "support")), f"WITH {DOCS}, {_areas('feature')}, {_curve('feature', True)}, {thr}, {conf.format(op='>=')} SELECT feature, 0 AS class, round(coalesce(tn / nullif(tn + fn, 0), 0), 6) AS precision, round(coalesce(tn / nullif(tn + fp, 0), 0), 6) AS recall, CAST(tn + fp AS BIGINT) AS support FROM q UNION ALL SELECT feature, 1, round(coalesce(tp / nullif(tp + fp, 0), 0), 6), round(coalesce(tp / nullif(tp + fn, 0), 0), 6), CAST(tp + fn AS BIGINT) FROM q"),
+        "class_report": (lambda s, d: rounded(curves.class_report(doc_features(s, d), k, youden(s, d))), f"WITH {DOCS}, {_areas('feature')}, {_curve('feature', True)}, {thr}, {conf.format(op='>=')}, r AS (SELECT feature, 0 AS class, coalesce(tn / nullif(tn + fn, 0), 0) AS precision, coalesce(tn / nullif(tn + fp, 0), 0) AS recall, CAST(tn + fp AS BIGINT) AS support FROM q UNION ALL SELECT feature, 1, coalesce(tp / nullif(tp + fp, 0), 0), coalesce(tp / nullif(tp + fn, 0), 0), CAST(tp + fn AS BIGINT) FROM q) SELECT feature, class, round(precision, 6) AS precision, round(recall, 6) AS recall, round(coalesce(2 * precision * recall / nullif(precision + recall, 0), 0), 6) AS f1, support FROM r"),
         "layer_profile_pop": (lambda s, d: rounded(effects.profile(layers(s, d), ml, 0)), f"WITH {LAYERS} " + prof.format(s="stddev_pop")),
         "layer_profile_samp": (lambda s, d: rounded(effects.profile(layers(s, d), ml, 1)), f"WITH {LAYERS} " + prof.format(s="stddev_samp")),
         "layer_separation": (lambda s, d: rounded(effects.profile(layers(s, d), ml).groupBy("metric").agg(F.avg("v_mean").alias("val_mean"), F.avg("i_mean").alias("inv_mean"), (F.avg("i_mean") - F.avg("v_mean")).alias("sep"))), f"WITH {LAYERS}, p AS (SELECT metric, layer, avg(CASE WHEN y = 0 THEN value END) AS v, avg(CASE WHEN y = 1 THEN value END) AS i FROM x GROUP BY metric, layer) SELECT metric, round(avg(v), 6) AS val_mean, round(avg(i), 6) AS inv_mean, round(avg(i) - avg(v), 6) AS sep FROM p GROUP BY metric"),
@@ -151,10 +151,10 @@ def _defined() -> dict[str, tuple[Q, str | None]]:
         "react_label": (lambda s, d: made(s).select("id", labels.react_label()("truth", "generated").alias("label")), None),
         "lr_fit": (lambda s, d: models.coefficients(features.standardized(doc_features(s, d), k).select("row_id", "y", "feature", F.col("z").alias("value")), pool, penalise_intercept=True), None),
         "lr_cv_auc": (lambda s, d: models.search(doc_features(s, d), {2: pool}), None),
-        "combo_sweep": (lambda s, d: models.search(doc_features(s, d), {2: pool, 3: pool[:3], 4: pool}), None),
+        "combo_sweep": (lambda s, d: models.search(doc_features(s, d), {2: pool, 3: pool, 4: pool}), None),
         "greedy_forward": (lambda s, d: models.greedy(doc_features(s, d), pool), None),
-        "anchored_search": (lambda s, d: models.search(doc_features(s, d), {2: pool, 3: pool}, keep=lambda c: "lines" in c), None),
-        "spectral_graph": (lambda s, d: spectral.by_group(table(s, d, "embeddings"), "label", "embedding", "vec_id"), None),
+        "anchored_search": (lambda s, d: models.anchored(doc_features(s, d), "lines", [f for f in pool if f != "lines"]), None),
+        "spectral_graph": (lambda s, d: spectral.by_row(table(s, d, "embeddings"), "embedding", "vec_id"), None),
         "likelihood": (lambda s, d: rounded(spectral.likelihood(table(s, d, "embeddings").select("vec_id", F.transform("embedding", lambda v: F.abs(v.cast("double"))).alias("nll"))).select("vec_id", "ppl", "logprob_mean", "logprob_min", F.col("len_gen").cast("long").alias("len_gen"))), "WITH t AS (SELECT vec_id, abs(CAST(unnest(embedding) AS DOUBLE)) AS v FROM embeddings) SELECT vec_id, round(exp(avg(v)), 6) AS ppl, round(-avg(v), 6) AS logprob_mean, round(-max(v), 6) AS logprob_min, count(*) AS len_gen FROM t GROUP BY vec_id"),
     }
 
@@ -173,9 +173,15 @@ def _banded(found: DataFrame, first: int = 10, second: int = 15) -> DataFrame:
     return a.join(F.broadcast(b), F.expr(f"b.r > a.r and a.r <= {first}")).select(F.col("a.metric").alias("m1"), F.col("a.layer").alias("l1"), F.col("b.metric").alias("m2"), F.col("b.layer").alias("l2"))
 
 
+def _all() -> dict[str, tuple[Q, str | None]]:
+    from quarry.plans import studies
+
+    return _defined() | studies.defined()
+
+
 def queries() -> dict[str, Q]:
-    return {k: q for k, (q, _) in _defined().items()}
+    return {k: q for k, (q, _) in _all().items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {k: sql for k, (_, sql) in _defined().items() if sql}
+    return {k: sql for k, (_, sql) in _all().items() if sql}

@@ -21,6 +21,23 @@ def jsonl(spark: SparkSession, path: str, schema=RECORD, strict: bool = True) ->
     return spark.read.schema(schema).option("mode", "FAILFAST" if strict else "DROPMALFORMED").json(path)
 
 
+def jsonl_counted(spark: SparkSession, path: str, schema: T.StructType = RECORD) -> tuple[DataFrame, DataFrame]:
+    """The good records, and one row with how many lines were read and how many dropped."""
+    raw = spark.read.schema(T.StructType([*schema.fields, T.StructField("_corrupt_record", T.StringType())])).option("mode", "PERMISSIVE").json(path)
+    bad = F.col("_corrupt_record").isNotNull()
+    return raw.where(~bad).drop("_corrupt_record"), raw.agg(F.count("*").alias("lines"), F.count_if(bad).alias("dropped"))
+
+
+def hub(spark: SparkSession, path: str, offset: int = 0, limit: int | None = None, key: str | None = None) -> DataFrame:
+    """A data set that was fetched from a hub as Parquet, whole, or a page of it in the order of ``key``."""
+    df = spark.read.parquet(path)
+    if key is None:
+        if offset or limit is not None:
+            raise ValueError("a page needs a key to be ordered by")
+        return df
+    return page(df, offset, limit, key) if limit is not None else df.orderBy(key).offset(offset)
+
+
 def _exists(spark: SparkSession, path: str) -> bool:
     p = spark._jvm.org.apache.hadoop.fs.Path(path)
     found = p.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(p)
@@ -45,10 +62,16 @@ def sweep(spark: SparkSession, path: str, layers: int, metrics=("HFER", "Fiedler
     return csv(spark, path, "is_hallucination int, " + ", ".join(f"L{i}_{m} double" for i in range(layers) for m in metrics))
 
 
-def named_files(spark: SparkSession, pattern: str, schema: str, suffix: str = "_ppl") -> DataFrame:
-    """Files of a glob with the column ``dataset``: the stem without suffix, blanks for underscores, words capitalised."""
-    stem = F.regexp_replace(F.regexp_extract(F.col("_metadata.file_name"), r"^(.*?)(\.[^.]*)?$", 1), suffix, "")
-    return csv(spark, pattern, schema).withColumn("dataset", F.initcap(F.regexp_replace(stem, "_", " ")))
+def named_files(spark: SparkSession, pattern: str, schema: str, suffix: str = "_ppl", prefix: str | None = None) -> DataFrame:
+    """Files of a glob with the column ``dataset``: the stem without suffix, blanks for underscores, words capitalised;
+    with ``prefix`` the stem after it, its first letter capitalised."""
+    stem = F.regexp_extract(F.col("_metadata.file_name"), r"^(.*?)(\.[^.]*)?$", 1)
+    if prefix is None:
+        name = F.initcap(F.regexp_replace(F.replace(stem, F.lit(suffix), F.lit("")), "_", " "))
+    else:
+        own = F.replace(stem, F.lit(prefix), F.lit(""))
+        name = F.concat(F.upper(F.substring(own, 1, 1)), F.lower(F.substring(own, 2, 1 << 20)))
+    return csv(spark, pattern, schema).withColumn("dataset", name)
 
 
 def tagged(spark: SparkSession, paths: dict[str, str], schema: str, optional: bool = True) -> DataFrame:
@@ -73,6 +96,15 @@ def write_by(df: DataFrame, path: str, key: str) -> None:
     df.withColumn(key, F.lower(key)).write.mode("overwrite").partitionBy(key).json(path)
 
 
+def write_jsonl(df: DataFrame, path: str) -> None:
+    df.write.mode("overwrite").json(path)
+
+
+def write_csv(df: DataFrame, path: str) -> None:
+    """CSV with a header in each file; lists and structs must be made text before."""
+    df.write.mode("overwrite").option("header", True).csv(path)
+
+
 def append_new(df: DataFrame, path: str, key: str) -> None:
     """Appends rows whose key the table at ``path`` lacks; running it again adds nothing."""
     spark = df.sparkSession
