@@ -2,6 +2,10 @@
 
 Each stage takes (spark, docs, sf_dir) and returns a table; it is written as Parquet and read again as the next one's
 docs.  All but the last return the columns of ``documents``.
+
+Edge cases: a stage's decision about a document holds for all rows that equal it in doc_id and text; rows without doc_id
+are documents like others; different texts under one doc_id are judged and linked each by itself, while repeated passages
+and the mixture take them as the operators do (one document; a draw of its own for each row).
 """
 
 from __future__ import annotations
@@ -12,36 +16,38 @@ from pyspark.sql import functions as F
 from quarry.llm import bpe, jaccard, mixing, quality, repeats
 from quarry.llm.scratch import Scratch, documents
 
-_last: list[Scratch] = []
-
 
 def _stage(f):
-    """Intermediate tables of a stage go when the next one starts, as its result has been written by then."""
+    """A stage's intermediate tables go when the next one of the same application and table starts: its result has been
+    written by then."""
 
     def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-        while _last:
-            _last.pop().clear()
-        before = len(Scratch.made)
-        out = f(docs)
-        _last.extend(Scratch.made[before:])
-        del Scratch.made[before:]
-        return out
+        made = _made.setdefault((spark.sparkContext.applicationId, sf_dir), [])
+        while made:
+            made.pop().clear()
+        Scratch.opened.append(made)
+        try:
+            return f(docs)
+        finally:
+            Scratch.opened.remove(made)
 
     return run
 
 
+#: Folders of the last stage that ran, by application and table.
+_made: dict[tuple[str, str], list[Scratch]] = {}
+
+
 @_stage
 def quality_rules(docs: DataFrame) -> DataFrame:
     """Documents that the rules reject go."""
-    rejected = quality.quality_rules(docs).where(~F.col("kept")).select("doc_id").distinct()
-    return docs.join(rejected, "doc_id", "left_anti").select(*docs.columns)
+    return quality.kept(docs)
 
 
 @_stage
 def near_copies(docs: DataFrame) -> DataFrame:
     """Of each component of near copies the document of smallest doc_id stays."""
-    first = jaccard.jaccard_components(docs).where("doc_id = component_id").select("doc_id")
-    return docs.join(first, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(*docs.columns)
+    return jaccard.one_of_each(docs)
 
 
 @_stage
@@ -54,8 +60,7 @@ def repeated_passages(docs: DataFrame) -> DataFrame:
 @_stage
 def mixture(docs: DataFrame) -> DataFrame:
     """Each document as often as the mix takes it."""
-    times = mixing.mix(docs).select("doc_id", (F.col("epochs") + F.col("picked")).cast("int").alias("_times")).where("_times > 0")
-    return docs.join(times, "doc_id").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_times")))).select(*docs.columns)
+    return mixing.taken(docs)
 
 
 @_stage
@@ -80,4 +85,6 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, scratch = documents(spark, sf_dir), Scratch(spark)
     for k, (name, stage) in enumerate(STAGES):
         docs = scratch.keep(stage(spark, docs, sf_dir), f"{k}-{name}")
+        if k:
+            scratch.drop(f"{k - 1}-{STAGES[k - 1][0]}")
     return docs
