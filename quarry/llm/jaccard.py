@@ -45,14 +45,12 @@ from pyspark.sql import functions as F
 
 from quarry.llm import text as tx
 from quarry.llm.components import components
-from quarry.llm.scratch import Scratch, mapped, pack64, runs, text_bytes, unpack64
+from quarry.llm.scratch import Scratch, join_spread, mapped, pack64, runs, text_bytes, unpack64
 
 #: Rows that make a shingle frequent; also the longest column that is multiplied out.
 HOT = 40
 #: Entries of a column block, about; entries that a task holds before it sends them; pairs that a block sums at once.
-BLOCK, FLUSH, PAIRS = 1_000_000, 2_000_000, 2_000_000
-#: A list with more than this part of all entries is joined by broadcast.
-HEAVY = 2048
+BLOCK, FLUSH, PAIRS = 250_000, 1_000_000, 1_000_000
 
 
 def _sign(x: np.ndarray) -> np.ndarray:
@@ -87,7 +85,8 @@ def _block_of(hashes: np.ndarray, blocks: int) -> np.ndarray:
 
 
 L, B, I = pa.int64(), pa.binary(), pa.int32()
-SKETCH = {"block": I, "flush": L, "ones": B, "rows": B, "many": B, "doc_id": L, "text_key": L, "row": L, "n": L, "c": L}
+SKETCH = {"block": I, "flush": L, "ones": B, "rows": B, "many": B, "doc_id": L, "text_key": L, "row": L, "n": L, "c": L, "bucket": I, "counts": B}
+COUNT = np.dtype([("row", "<u8"), ("flush", "<i8"), ("c", "<u4")])
 COLUMN = {"block": I, "ones": B, "rows": B, "many": B, "bucket": I, "own": B}
 
 
@@ -96,9 +95,9 @@ def _ddl(schema: dict[str, pa.DataType]) -> str:
 
 
 def _sketch(docs: DataFrame, width: int, num: int, den: int, blocks: int, tasks: int) -> DataFrame:
-    """Documents (doc_id, text_key, row, n, flush, c) and numbers (row, flush, c) of a row's sketch that others share.
+    """Documents (doc_id, text_key, row, n, flush, c) and packed numbers (row, flush, c) of a row's sketch that others share.
 
-    c adds up, over all rows of one (row, flush), to the number of the set's sketch shingles that other sets hold.
+    c adds up, over all of one (row, flush), to the number of the set's sketch shingles that other sets hold.
     """
 
     def flush(held, docs, number):
@@ -120,7 +119,7 @@ def _sketch(docs: DataFrame, width: int, num: int, den: int, blocks: int, tasks:
             if len(here):
                 c[first] = np.where(here[at] == u, times[at], 0)
                 here, times = here[~np.isin(here, u)], times[~np.isin(here, u)]  # once for each row
-            yield _batch(SKETCH, len(row), block=-1 - (row % np.uint64(4096)).astype(np.int32), flush=np.full(len(row), number), doc_id=ids, text_key=keys, row=_sign(row), n=n, c=c)
+            yield _batch(SKETCH, len(row), block=-1 - np.arange(len(row)) % 4096, flush=np.full(len(row), number), doc_id=ids, text_key=keys, row=_sign(row), n=n, c=c)
         one, many = ~shared, h[start[size > 1]]
         oh, orow = h[one], r[one]
         blocks_of = np.union1d(_block_of(oh, blocks), _block_of(many, blocks))
@@ -150,18 +149,36 @@ def _sketch(docs: DataFrame, width: int, num: int, den: int, blocks: int, tasks:
         if rows:
             yield from flush(held, rows, number)
 
+    def added(held: list[np.ndarray]) -> np.ndarray:
+        x = np.concatenate(held)
+        x = x[np.lexsort((x["flush"], x["row"]))]
+        at = np.flatnonzero(np.concatenate([np.ones(min(1, len(x)), bool), (x["row"][1:] != x["row"][:-1]) | (x["flush"][1:] != x["flush"][:-1])]))
+        out = x[at]
+        out["c"] = np.add.reduceat(x["c"], at) if len(x) else 0
+        return out
+
+    def dealt(held):
+        x = added(held)
+        bucket = (x["row"] % np.uint64(tasks)).astype(np.int64)
+        x = x[np.argsort(bucket, kind="stable")]
+        bucket = np.sort(bucket)
+        ends = _cuts(bucket)
+        for k in range(0, len(ends) - 1, 64):
+            cut = list(zip(ends[k : k + 64], ends[k + 1 : k + 65], strict=False))
+            yield _batch(SKETCH, len(cut), bucket=bucket[[i for i, _ in cut]], counts=[x[i:j].tobytes() for i, j in cut])
+
     def count(batches):
+        held, size = [], 0
         for block, own in runs(batches, "block"):
             if block < 0:
                 yield from own
                 continue
-            h, r, f, flushes, many = [], [], [], [], []
+            h, r, f, many = [], [], [], []
             for b in own:
                 for ones, rows, number, more in zip(b.column("ones"), b.column("rows"), b.column("flush").to_pylist(), b.column("many"), strict=True):
                     h.append(unpack64(ones.as_buffer()))
                     r.append(np.frombuffer(rows.as_buffer(), np.uint64))
-                    f.append(np.full(len(h[-1]), len(flushes), np.int32))
-                    flushes.append(number)
+                    f.append(np.full(len(h[-1]), number))
                     many.append(unpack64(more.as_buffer()))
             h, r, f, many = np.concatenate(h), np.concatenate(r), np.concatenate(f), np.unique(np.concatenate(many))
             if not len(h):
@@ -176,18 +193,35 @@ def _sketch(docs: DataFrame, width: int, num: int, den: int, blocks: int, tasks:
                 at = np.minimum(np.searchsorted(many, h), len(many) - 1)
                 other[column[many[at] == h]] = True
             shared = other[column]
-            r, f = r[shared], f[shared]
-            order = np.lexsort((f, r))
-            r, f = r[order], f[order]
-            at = np.flatnonzero(np.concatenate([[True], (r[1:] != r[:-1]) | (f[1:] != f[:-1])])) if len(r) else np.zeros(0, np.int64)
-            times = np.diff(np.concatenate([at, [len(r)]]))
-            if len(at):
-                yield _batch(SKETCH, len(at), row=_sign(r[at]), flush=np.asarray(flushes)[f[at]], c=times)
+            x = np.empty(int(shared.sum()), COUNT)
+            x["row"], x["flush"], x["c"] = r[shared], f[shared], 1
+            held.append(added([x]))
+            size += len(held[-1])
+            if size > FLUSH:
+                yield from dealt(held)
+                held, size = [], 0
+        if size:
+            yield from dealt(held)
 
     sent = mapped(docs, send, _ddl(SKETCH)).repartition(tasks, "block").sortWithinPartitions("block")
     return mapped(sent, count, _ddl(SKETCH)).drop("block", "ones", "rows", "many")
 
 
+def _shared(first: DataFrame, tasks: int) -> DataFrame:
+    """row, c: how many sketch shingles of each row others share."""
+
+    def add(batches):
+        for _, own in runs(batches, "bucket"):
+            x = np.concatenate([np.frombuffer(v.as_buffer(), COUNT) for b in own for v in b.column("counts")])
+            x = x[np.lexsort((x["flush"], x["row"]))]
+            at = np.flatnonzero(np.concatenate([[True], (x["row"][1:] != x["row"][:-1]) | (x["flush"][1:] != x["flush"][:-1])]))
+            yield pa.RecordBatch.from_pydict({"row": pa.array(_sign(x["row"][at])), "flush": pa.array(x["flush"][at]), "c": pa.array(np.add.reduceat(x["c"], at).astype(np.int64))})
+
+    packed = first.where("counts is not null").select("bucket", "counts").repartition(tasks, "bucket").sortWithinPartitions("bucket")
+    one = mapped(packed, add, "row long, flush long, c long").unionByName(first.where("c > 0").select("row", "flush", "c"))
+    return one.groupBy("row", "flush").agg(F.sum("c").alias("c")).groupBy("row").agg(F.max("c").alias("c"))
+
+
 def _incidence(docs: DataFrame, width: int, hot: int, blocks: int, buckets: int, tasks: int) -> DataFrame:
     """Packed by bucket of rows, what the columns say of candidates: (row, shingle, frequent) of shared shingles, and n.
 
@@ -401,15 +435,9 @@ def _verified(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFram
     return mapped(pairs.select("a", "b").join(left, "a").join(right, "b").select("a", "b", "x", "y", "p", "q"), test, "a long, b long")
 
 
-def _by_list(rows: DataFrame, lists: DataFrame, keys: list[str], entries: int) -> DataFrame:
-    """rows joined to lists (one row for each, ``size`` entries of ``entries``); large lists by broadcast."""
-    large = F.broadcast(lists.where(F.col("size") * HEAVY > entries))
-    small = lists.where(F.col("size") * HEAVY <= entries)
-    return rows.join(large, keys).unionByName(rows.join(large.select(*keys), keys, "left_anti").join(small, keys)).drop("size")
-
-
 def linked(docs: DataFrame, width: int = 5, num: int = 3, den: int = 4, hot: int = HOT, block: int = BLOCK) -> DataFrame:
-    """doc_id, text_key, n and root for every row: rows of equal root are one component; null without words."""
+    """doc_id, text_key, n, root, least for every row: rows of equal root are one component, whose smallest doc_id is least;
+    both are null without words."""
     spark = docs.sparkSession
     scratch = Scratch(spark)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("text_key"))
@@ -421,7 +449,7 @@ def linked(docs: DataFrame, width: int = 5, num: int = 3, den: int = 4, hot: int
     rows = first.where("n is not null").select("doc_id", "text_key", "row", "n")
     members = first.where("n > 0").groupBy("row", "n").agg(F.min("doc_id").alias("doc_id"), F.min(F.struct("doc_id", "text_key")).alias("key"))
     members = scratch.keep(members, "members")
-    shared = first.where("c > 0").groupBy("row", "flush").agg(F.sum("c").alias("c")).groupBy("row").agg(F.max("c").alias("c"))
+    shared = _shared(first, tasks)
     need = lambda n: F.ceil(F.col(n) * num / den)
     candidates = members.join(shared, "row").where(F.col("c") > F.floor(need("n") / 5)).select("row", "n", F.col("key.doc_id").alias("_id"), F.col("key.text_key").alias("_key"))
     candidates = scratch.keep(candidates, "candidates")
@@ -429,7 +457,7 @@ def linked(docs: DataFrame, width: int = 5, num: int = 3, den: int = 4, hot: int
     cells = int(candidates.agg(F.sum("n")).first()[0] or 0)
     blocks, buckets = max(8, cells // block + 1), max(8, cells // block + 1)
     tasks = max(8, min(blocks, partitions))
-    texts = docs.join(candidates, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("text_key") == F.col("_key"))).select("row", "text")
+    texts = docs.join(candidates.hint("merge"), F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("text_key") == F.col("_key"))).select("row", "text")
     columns = scratch.keep(_incidence(texts, width, hot, blocks, buckets, tasks), "columns")
     entries = scratch.keep(_entries(columns, num, den, blocks, tasks), "entries")
     scratch.drop("columns")
@@ -455,9 +483,8 @@ def linked(docs: DataFrame, width: int = 5, num: int = 3, den: int = 4, hot: int
     def to_hubs(rows: DataFrame, left: DataFrame, name: str) -> DataFrame:
         """Pairs of the lists' rows with the hub of the rows ``left``."""
         hubs = scratch.keep(left.groupBy(*keys).agg(F.max(central).alias("hub")), f"{name}hub")
-        sizes = scratch.keep(rows.groupBy(*keys).agg(F.count("*").alias("size")), f"{name}size")
-        total = int(sizes.agg(F.sum("size")).first()[0] or 0)
-        met = _by_list(rows, hubs.join(sizes, keys), keys, total).select(F.col("hub")["row"].alias("a"), F.col("hub")["n"].alias("na"), F.col("hub")["own"].alias("oa"), F.col("row").alias("b"), F.col("n").alias("nb"), F.col("own").alias("ob"))
+        sizes = rows.groupBy(*keys).agg(F.count("*").alias("size"))
+        met = join_spread(rows, hubs, keys, sizes, scratch, f"{name}size").select(F.col("hub")["row"].alias("a"), F.col("hub")["n"].alias("na"), F.col("hub")["own"].alias("oa"), F.col("row").alias("b"), F.col("n").alias("nb"), F.col("own").alias("ob"))
         return met.where((F.col("a") != F.col("b")) & fits).select("a", "b").distinct()
 
     def labelled(df: DataFrame, label: DataFrame, key: str, out: str) -> DataFrame:
@@ -474,8 +501,7 @@ def linked(docs: DataFrame, width: int = 5, num: int = 3, den: int = 4, hot: int
         tagged = scratch.keep(labelled(lists.drop("label", "main"), label, "row", "label"), f"{name}tagged")
         main = tagged.groupBy(*keys, "label").count().groupBy(*keys).agg(F.max(F.struct("count", "label"))["label"].alias("main"), F.count("*").alias("labels"), F.sum("count").alias("size"))
         main = scratch.keep(main, f"{name}main")
-        total = int(main.agg(F.sum("size")).first()[0] or 0)
-        return _by_list(tagged, main.where("labels > 1").drop("labels"), keys, total)
+        return join_spread(tagged, main.where("labels > 1").select(*keys, "main"), keys, main.select(*keys, "size"), scratch, f"{name}size")
 
     label = components(links, scratch, "cc_hub")
     lists = scratch.keep(still_open(lists, label, "a"), "open1")
@@ -506,15 +532,21 @@ def linked(docs: DataFrame, width: int = 5, num: int = 3, den: int = 4, hot: int
     links = links.unionByName(scratch.keep(_verified(last, sets, num, den), "links3"))
     final = components(links, scratch, "cc_last")
 
+    # of each row its root, and of each root its smallest doc_id; only then to the documents, of which copies share a row
     named = final.select(F.col("node").alias("row"), "root")
-    return rows.join(named, "row", "left").withColumn("root", F.when(F.col("n") > 0, F.coalesce("root", "row"))).select("doc_id", "text_key", "n", "root")
+    rooted = scratch.keep(members.select("row", "doc_id").join(named, "row", "left").withColumn("root", F.coalesce("root", "row")), "rooted")
+    least = rooted.groupBy("root").agg(F.min("doc_id").alias("least"))
+    whole = join_spread(rooted.drop("doc_id"), least, ["root"], rooted.groupBy("root").agg(F.count("*").alias("size")), scratch, "rootsize")
+    full = rows.where("n > 0")
+    found = join_spread(full, whole, ["row"], full.groupBy("row").agg(F.count("*").alias("size")), scratch, "rowsize")
+    cols = ["doc_id", "text_key", "n", "root", "least"]
+    none = F.lit(None).cast("long")
+    return found.select(*cols).unionByName(rows.where("n = 0").withColumns({"root": none, "least": none}).select(*cols))
 
 
 def jaccard_components(docs: DataFrame, **how) -> DataFrame:
     """doc_id, n_shingles, component_id for every row: components of Jaccard similarity num / den and more."""
-    found = linked(docs, **how)
-    least = found.where("root is not null").groupBy("root").agg(F.min("doc_id").alias("least"))
-    return found.join(least, "root", "left").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("root").isNotNull(), F.col("least")).otherwise(F.col("doc_id")).alias("component_id"))
+    return linked(docs, **how).select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("root").isNotNull(), F.col("least")).otherwise(F.col("doc_id")).alias("component_id"))
 
 
 def one_of_each(docs: DataFrame, **how) -> DataFrame:
@@ -522,7 +554,7 @@ def one_of_each(docs: DataFrame, **how) -> DataFrame:
 
     Of rows that repeat doc_id and text any one stays.
     """
-    found = linked(docs, **how)
+    found = Scratch(docs.sparkSession).keep(linked(docs, **how), "linked")
     first = found.where("root is not null").groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_key")).alias("f"))
     first = first.select(F.col("f.doc_id").alias("_id"), F.col("f.text_key").alias("_key"), F.lit(True).alias("_one"))
     bare = found.where("root is null").select(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key"), F.lit(False).alias("_one")).distinct()

@@ -1,4 +1,4 @@
-"""Tables in the folder that driver and executors share, Arrow functions, and bounded bitmaps of hashed keys."""
+"""Tables in the folder that driver and executors share, Arrow functions, and joins that spread frequent keys."""
 
 from __future__ import annotations
 
@@ -106,21 +106,6 @@ def runs(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[tuple[object,
         yield k, own(k)
 
 
-def pack(sorted_values: np.ndarray) -> bytes:
-    """Ascending integers as gaps of a byte each; 255 adds 255 and is no entry, 0 repeats the value before."""
-    gaps = np.diff(sorted_values.astype(np.int64), prepend=0)
-    over = gaps // 255
-    at = np.cumsum(over + 1) - 1
-    out = np.full(int(at[-1]) + 1 if len(at) else 0, 255, np.uint8)
-    out[at] = gaps % 255
-    return out.tobytes()
-
-
-def unpack(blob: bytes) -> np.ndarray:
-    gaps = np.frombuffer(blob, np.uint8)
-    return np.cumsum(gaps, dtype=np.int64)[gaps != 255]
-
-
 def pack64(ascending: np.ndarray) -> bytes:
     """Ascending 64-bit numbers: the first, and gaps of as many bytes as the widest takes."""
     if not len(ascending):
@@ -141,67 +126,21 @@ def unpack64(blob) -> np.ndarray:
     return np.cumsum(gaps.reshape(-1).view(np.uint64), dtype=np.uint64)
 
 
-#: Low bits of a bucket that one packed row covers.
-LOW = 16
-
-
-class Buckets:
-    """Collects the buckets of hashed keys in one task and gives them as packed rows (part, blob)."""
-
-    def __init__(self, bits: int, most: int = 6_000_000):
-        self.bits, self.most, self.held, self.n = bits, most, [], 0
-
-    def add(self, hashes: np.ndarray) -> None:
-        self.held.append((hashes >> np.uint64(64 - self.bits)).astype(np.uint32))
-        self.n += len(hashes)
+#: A key with more than this part of all rows is joined by broadcast; there are fewer of these than this number.
+HEAVY = 2048
 
-    def full(self) -> bool:
-        return self.n >= self.most
 
-    def rows(self) -> tuple[list[int], list[bytes]]:
-        if not self.n:
-            return [], []
-        b = np.sort(np.concatenate(self.held))
-        self.held, self.n = [], 0
-        part = (b >> np.uint32(LOW)).astype(np.int64)
-        cut = np.flatnonzero(np.diff(part)) + 1
-        ends = [0, *cut.tolist(), len(b)]
-        low = b & np.uint32((1 << LOW) - 1)
-        return [int(part[i]) for i in ends[:-1]], [pack(low[i:j]) for i, j in zip(ends[:-1], ends[1:], strict=True)]
+def join_spread(rows: DataFrame, table: DataFrame, keys: list[str], sizes: DataFrame, scratch: Scratch, name: str) -> DataFrame:
+    """rows joined to ``table``, which has one row for each key, so that no task gets all rows of a frequent key.
 
-
-def often(packed: DataFrame, bits: int, least: tuple[int, ...]) -> list[np.ndarray]:
-    """For each of ``least`` a bitmap of 2**bits bits: the buckets that packed rows (part, blob) hold so often or more.
-
-    Their size depends on ``bits`` alone.  A bucket holds many keys, so a bit may be set for a rare key, never unset
-    for a frequent one.
+    sizes: keys and ``size``, the rows of each.  Keys of more than a HEAVY-th of all rows are fewer than HEAVY, so what is
+    broadcast is bounded; no other key has more.
     """
-
-    def count(batches):
-        for part, own in runs(batches, "part"):
-            total = np.zeros(1 << LOW, np.int64)
-            for b in own:
-                for blob in b.column("blob"):
-                    total += np.bincount(unpack(blob.as_py()), minlength=1 << LOW)
-            found = [np.packbits(total >= x).tobytes() for x in least]
-            yield pa.RecordBatch.from_pydict({"part": pa.array([part] * len(least), pa.int64()), "which": pa.array(range(len(least)), pa.int32()), "bits": pa.array(found, pa.binary())})
-
-    found = mapped(packed.select("part", "blob").repartition("part").sortWithinPartitions("part"), count, "part long, which int, bits binary")
-    out = [np.zeros((1 << max(bits, LOW)) >> 3, np.uint8) for _ in least]
-    width = (1 << LOW) >> 3
-    for row in found.toLocalIterator():
-        out[row["which"]][row["part"] * width : (row["part"] + 1) * width] = np.frombuffer(row["bits"], np.uint8)
-    return out
-
-
-def hit(bitmap: np.ndarray, bits: int, hashes: np.ndarray) -> np.ndarray:
-    b = hashes >> np.uint64(64 - bits)
-    return (bitmap[(b >> np.uint64(3)).astype(np.int64)] >> (np.uint8(7) - (b & np.uint64(7)).astype(np.uint8))) & np.uint8(1) != 0
-
-
-def width_for(keys: float, spare: int = 2, most: int = 28) -> int:
-    """Bits for ``spare`` or more buckets a key; ``most`` bounds the bitmap (2**28 bits are 32 MB)."""
-    return int(min(most, max(LOW, np.ceil(np.log2(max(keys, 1) * spare)))))
+    sizes = scratch.keep(sizes, name)
+    total = int(sizes.agg(F.sum("size")).first()[0] or 0)
+    often = F.broadcast(sizes.where(F.col("size") * HEAVY > total).select(*keys))
+    many = rows.join(F.broadcast(table.join(often, keys, "left_semi")), keys)
+    return many.unionByName(rows.join(often, keys, "left_anti").join(table, keys))
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
