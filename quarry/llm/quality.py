@@ -160,4 +160,4 @@ def kept(docs: DataFrame, host: str = "source", rules: Rules = Rules()) -> DataF
 
 
 def op10_quality_rules(docs: DataFrame) -> DataFrame:
-    return quality_rules(docs).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "host_rate")
+    return quality_rules(docs).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", F.round("host_rate", 9).alias("host_rate"))
