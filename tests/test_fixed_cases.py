@@ -197,9 +197,109 @@ def test_groups_come_whole(spark):
 
 
 def test_bootstrap_query_draws(spark, monkeypatch):
+    import inspect
+
     from quarry.plans import queries
 
-    seen, own = [], effects.F.sequence
-    monkeypatch.setattr(effects.F, "sequence", lambda a, b, *c: (seen.append(b), own(a, b, *c))[1])
+    seen, own = [], effects.bootstrap_auc
+    monkeypatch.setattr(effects, "bootstrap_auc", lambda *a, **k: (seen.append(inspect.signature(own).bind(*a, **k)), own(*a, **k))[1])
     queries.queries()["bootstrap_ci"](spark, "/root/testdata/sf0.001")
-    assert [str(x) for x in seen] == ["Column<'999'>"]
+    for x in seen:
+        x.apply_defaults()
+    assert [x.arguments["draws"] for x in seen] == [1000]
+
+
+def test_bootstrap_agrees_with_resampling(spark):
+    rng = np.random.default_rng(4)
+    y, v = rng.integers(0, 2, 400), rng.integers(0, 60, 400)
+    v = v + 12 * y
+    df = long(spark, y, v)
+    lo, hi = effects.bootstrap_auc(df, ["feature"]).select("lo", "hi").first()
+    draws = []
+    for _ in range(600):
+        i = rng.integers(0, 400, 400)
+        draws.append(models.area(y[i], v[i].astype(float)))
+    assert lo == pytest.approx(np.quantile(draws, 0.025), abs=0.012) and hi == pytest.approx(np.quantile(draws, 0.975), abs=0.012)
+    again = effects.bootstrap_auc(df.repartition(7), ["feature"]).select("lo", "hi").first()
+    assert (lo, hi) == tuple(again)
+    one = effects.bootstrap_auc(long(spark, [1, 1], [1, 2]), ["feature"], draws=10, fallback=(0.5, 0.5)).select("lo", "hi").first()
+    assert tuple(one) == (0.5, 0.5)
+    index = effects.bootstrap_auc(df, ["feature"], rule="index").select("lo", "hi").first()
+    assert index["lo"] == pytest.approx(lo, abs=0.01) and index["hi"] == pytest.approx(hi, abs=0.01)
+
+
+def test_running_sums_by_ranges(spark):
+    from quarry.operators import ranks
+
+    rng = np.random.default_rng(5)
+    rows = [(None if k % 3 == 0 else f"g{k % 2}", float(v), float(k % 5)) for k, v in enumerate(rng.permutation(900))]
+    got = ranks.running(spark.createDataFrame(rows, "g string, value double, p double").repartition(3), ["g"], "value", ["p"], bins=16).collect()
+    assert len(got) == 900
+    for r in got:
+        own = [x for x in rows if x[0] == r["g"]]
+        assert r["below_p"] == sum(p for _, v, p in own if v < r["value"]) and r["all_p"] == sum(p for _, _, p in own)
+
+
+def test_fit_on_rows_and_unranking(spark):
+    import itertools
+
+    assert [models.unranked(k, 6, 3) for k in range(20)] == list(itertools.combinations(range(6), 3))
+    rng = np.random.default_rng(1)
+    x = rng.standard_normal((300, 2))
+    y = (x[:, 0] - 0.5 * x[:, 1] + rng.standard_normal(300) > 0.4).astype(int)
+    df = spark.createDataFrame([(f, i, int(y[i]), float(x[i, k])) for i in range(300) for k, f in enumerate("ab")], "feature string, row_id long, y int, value double").repartition(4)
+    for how in ({}, {"balanced": True}, {"penalise_intercept": True, "c": 0.3}):
+        assert models.fit(df, ["a", "b"], **how) == pytest.approx(models.newton(x, y, **how), abs=1e-6)
+
+
+def test_verified_and_calibrated(spark):
+    rng = np.random.default_rng(2)
+    y = (np.arange(120) % 3 == 0).astype(int)
+    x = np.column_stack([y + 0.3 * rng.standard_normal(120), rng.standard_normal(120)])
+    df = spark.createDataFrame([(f, i, int(y[i]), float(x[i, k])) for i in range(120) for k, f in enumerate("ab")], "feature string, row_id long, y int, value double")
+    got = {r["config"]: r for r in models.verified(df, {"good": ["a"], "bad": ["b"], "lost": ["a", "c"]}).collect()}
+    assert set(got) == {"good", "bad"} and got["good"]["passed"] and not got["bad"]["passed"] and got["good"]["tp"] + got["good"]["fn"] == 40
+    r = models.calibrated(df.where("row_id % 2 = 0"), df.where("row_id % 2 = 1"), ["a", "b"]).first()
+    assert r["auc_calibration"] > 0.95 and r["gap"] == pytest.approx(r["auc_calibration"] - r["auc_validation"]) and r["tp"] + r["fp"] + r["fn"] + r["tn"] == 60
+    e = {r["n"]: r for r in models.efficiency(df, ["a", "b"], {1: ["a"], 2: ["a", "b"]}, sizes=(10, 60), trials=5).collect()}
+    assert e[60]["percent_1"] == 100 and e[60]["percent_2"] == 100 and e[60]["valid_trials"] == 5
+
+
+def test_reports(spark):
+    one = spark.createDataFrame([("c1", 10, 4, 0.9, 0.8, 0.95, 0.5, 3.0, 1.0, 1.0, 5.0, 0.75, 0.75, 0.75, 5 / 6, 1 / 6)], "config string, n int, pos int, auc double, lo double, hi double, threshold double, tp double, fp double, fn double, tn double, recall double, precision double, f1 double, specificity double, fpr double")
+    tests = spark.createDataFrame([("c1", "L1_HFER", 0.2, 0.1, 0.1, 0.05, 1.2, 0.0004)], "config string, feature string, i_mean double, i_std double, v_mean double, v_std double, d double, p double")
+    text_ = report.config_report(one, tests)
+    assert "## c1" in text_ and "- recall 0.7500 (3/4)" in text_ and "| positive | 1 | 3 |" in text_ and "| L1_HFER | 0.2000±0.1000 | 0.1000±0.0500 | +1.200 | 4.00e-04 | *** |" in text_
+    cols = "feature string, auc double, recall double, precision double, detected long, d double, p double"
+    best = spark.createDataFrame([("M-8B", "HFER", 0.7, 0.5, 0.4, 9, 0.3, 0.2), ("N", "HFER", 0.8, 0.5, 0.4, 9, 0.3, 1e-9)], "model string, " + cols)
+    ppl = spark.createDataFrame([("M-8B", "ppl", 0.6, 0.5, 0.4, 8, 0.1, 0.01)], "model string, " + cols)
+    bench = spark.createDataFrame([("L1_HFER", 0.6, 0.5, 0.4, 8, 0.1, 0.01), ("L2_HFER", 0.7, 0.5, 0.4, 8, 0.1, 0.01), ("L2_Entropy", 0.5, 0.5, 0.4, 8, 0.1, 0.01)], cols)
+    rows = report.baseline_table(best, ppl, bench, "tools").splitlines()
+    assert [r.split(" & ")[:3] for r in rows if " & " in r][1:] == [[r"\textbf{M}", "HFER", "0.7000"], ["", "ppl", "0.6000"], [r"\textbf{N}", "HFER", "0.8000"], [r"\textbf{tools}", "HFER", "0.7000"], ["", "Entropy", "0.5000"]]
+    assert rows.count(r"\midrule") == 3 and "$<0.001$" in "\n".join(rows)
+    profile = spark.createDataFrame([(1, 0.1, 0.01, 0.2, 0.02, 0.11, 0.09, 0.22, 0.18)], "layer int, v_mean double, v_std double, i_mean double, i_std double, v_upper double, v_lower double, i_upper double, i_lower double")
+    assert "coordinates {(1,0.2000)}" in report.plot_source(profile, "HFER") and report.console(bench, "auc", 1).count("L2_HFER") == 1
+
+
+def test_jobs_and_sinks(spark, tmp_path):
+    from quarry.plans import jobs
+
+    for n in "ab":
+        (tmp_path / f"{n}.jsonl").write_text('{"label": 1, "generated": "x"}\nbroken\n{"label": 0, "generated": "y"}\n')
+    todo = [jobs.Job(n, f"{tmp_path}/{n}.jsonl", f"{tmp_path}/{n}.out") for n in "abc"]
+
+    def copy(s, job):
+        good, counts = records.jsonl_counted(s, job.input)
+        assert tuple(counts.first()) == (3, 1)
+        if job.name == "b":
+            raise RuntimeError("no luck")
+        records.write_jsonl(good, job.output)
+
+    steps = [jobs.Step("copy", copy, lambda j: j.output), jobs.Step("csv", lambda s, j: records.write_csv(s.read.json(j.output), f"{j.output}.csv"), lambda j: f"{j.output}.csv")]
+    assert [(j.name, s.name) for j, s in jobs.plan(spark, todo, steps)] == [("a", "copy"), ("a", "csv"), ("b", "copy"), ("b", "csv")]
+    assert jobs.execute(spark, jobs.plan(spark, todo, steps), f"{tmp_path}/log") == [("b", "copy", "no luck")]
+    assert [(j.name, s.name) for j, s in jobs.plan(spark, todo, steps)] == [("b", "copy"), ("b", "csv")] and spark.read.json(f"{tmp_path}/log").count() == 1
+    assert spark.read.option("header", True).csv(f"{tmp_path}/a.out.csv").count() == 2 and jobs.plan(spark, todo, steps, limit=1) == []
+    (tmp_path / "mistral_math.csv").write_text("v\n1\n")
+    assert records.named_files(spark, f"{tmp_path}/mistral_math.csv", "v int", prefix="mistral_").first()["dataset"] == "Math"
+    assert records.hub(spark, "/root/testdata/sf0.001/nation.parquet", 3, 4, "n_nationkey").count() == 4
