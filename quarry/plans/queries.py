@@ -69,6 +69,29 @@ def _case(col: str, rules: dict[str, list[str]], other: str) -> str:
     return "CASE " + " ".join("WHEN " + " OR ".join(f"contains(lower({col}), '{k}')" for k in ks) + f" THEN '{n}'" for n, ks in rules.items()) + f" ELSE '{other}' END"
 
 
+#: Expected and generated calls with the labels that the rules give them by hand (loose and strict; of answers one).
+CALLS = [
+    ('{"name":"f","arguments":{"x":1}}', '{"name":"f","arguments":{"x":1}}', 0, 0), ('{"name":"f","arguments":{"x":1}}', '{"name":"f","arguments":{"x":"1"}}', 0, 1),
+    ('{"name":"f","arguments":{"x":1}}', 'the call is {"name":"f","arguments":{"x":1,"y":2}}', 0, 1), ('{"name":"f","arguments":{"x":1,"y":2}}', '{"name":"f","arguments":{"x":1}}', 1, 1),
+    ('{"name":"f"}', '{"name":"g"}', 1, 1), ('{"name":"f"}', '{"name":"f","parameters":{}}', 1, 1), ("one text", "other words", 0, 0), ("text", "a ``` b", 1, 1),
+    ("import x", "import y", 0, 0), ("text", '{"name":"f"}', 1, 1), ("{broken", '{"name":"f"}', 0, 0), ("42", "42", 1, None), ("{}", "{}", 0, 0),
+]
+ANSWERS = [
+    ('Action: get\nAction Input: {"a": "X y"}', 'Action: GET Action Input: {"a":"xY"}', 0), ('Action: get Action Input: {"a": {"b":1}}', 'Action: get Action Input: {"a": {"b":1}}', 1),
+    ('get(a="1", b=2)', 'get(a="1", b=2)', 0), ("f(a=1)", "f(a=1,b=2)", 0), ("f(a=1,b=2)", "f(a=1)", 1), ("plain text", "plain text", 1),
+]
+
+
+def dealt(spark: SparkSession, sf: str, cases: list[tuple]) -> DataFrame:
+    """The rows of part, each with one of the cases."""
+    of = lambda k: F.element_at(F.array(*[F.lit(c[k]) for c in cases]), (F.pmod("p_partkey", F.lit(len(cases))) + 1).cast("int"))
+    return table(spark, sf, "part").select("p_partkey", of(0).alias("truth"), of(1).alias("generated"))
+
+
+def _expected(cases: list[tuple], k: int) -> str:
+    return f"([{', '.join('NULL' if c[k] is None else str(c[k]) for c in cases)}])[p_partkey % {len(cases)} + 1]"
+
+
 Q = Callable[[SparkSession, str], DataFrame]
 
 
@@ -94,8 +117,6 @@ def _defined() -> dict[str, tuple[Q, str | None]]:
     d_sql = "coalesce((m1 - m0) / nullif(sqrt(((n1 - 1) * v1 + (n0 - 1) * v0) / nullif(n1 + n0 - 2, 0)), 0), 0)"
     by_lang = f"WITH {DOCS}, {_areas('lang, feature')}, b AS (SELECT lang, feature, greatest(auc, 1 - auc) AS auc FROM a WHERE auc IS NOT NULL)"
     langs = lambda s, d: curves.directed(doc_features(s, d), ["lang", "feature"]).where("auc is not null")
-    calls = [('{"name":"f","arguments":{"x":1}}', '{"name":"f","arguments":{"x":"1"}}'), ("plain", "plain"), ("{broken", '{"name":"f"}'), ("Action: get\nAction Input: {\"a\": \"X y\"}", 'Action: GET Action Input: {"a":"xY"}')]
-    made = lambda s: s.createDataFrame([(i, a, b) for i, (a, b) in enumerate(calls)], "id int, truth string, generated string")
     pool = ["chars", "lines", "commas", "blanks"]
     auc_of = lambda s, d: curves.directed(doc_features(s, d), k)
     from pyspark.sql.window import Window
@@ -147,8 +168,8 @@ def _defined() -> dict[str, tuple[Q, str | None]]:
         "last_user_turn": (lambda s, d: table(s, d, "conversations").where("role = 'user'").groupBy("conv_id").agg(F.max("turn").alias("turn"), F.max_by("text", "turn").alias("text")), "SELECT conv_id, max(turn) AS turn, max_by(text, turn) AS text FROM conversations WHERE role = 'user' GROUP BY conv_id"),
         "exact_label": (lambda s, d: table(s, d, "conversations").where("role = 'assistant'").alias("a").join(table(s, d, "conversations").alias("b"), F.expr("a.conv_id = b.conv_id and b.turn = a.turn - 1")).select("a.conv_id", "a.turn", text.exact_label("a.text", "b.text").alias("label")), "SELECT a.conv_id, a.turn, CASE WHEN regexp_replace(a.text, '\\s+', '', 'g') = regexp_replace(b.text, '\\s+', '', 'g') THEN 0 ELSE 1 END AS label FROM conversations a JOIN conversations b ON a.conv_id = b.conv_id AND b.turn = a.turn - 1 WHERE a.role = 'assistant'"),
         "significance_stars": (lambda s, d: effects.welch(layers(s, d), ml).withColumn("p", F.exp(-F.abs("t"))).select("metric", "layer", effects.stars().alias("stars")), f"WITH {LAYERS}, {_MOM.format(k='metric, layer')}, p AS (SELECT metric, layer, exp(-abs({_T})) AS p FROM m WHERE n1 > 1 AND n0 > 1) SELECT metric, layer, CASE WHEN p < 0.001e0 THEN '***' WHEN p < 0.01e0 THEN '**' WHEN p < 0.05e0 THEN '*' ELSE 'ns' END AS stars FROM p"),
-        "json_label": (lambda s, d: made(s).select("id", labels.json_label()("truth", "generated").alias("loose"), labels.json_label(True)("truth", "generated").alias("strict")), None),
-        "react_label": (lambda s, d: made(s).select("id", labels.react_label()("truth", "generated").alias("label")), None),
+        "json_label": (lambda s, d: dealt(s, d, CALLS).select("p_partkey", labels.json_label()("truth", "generated").alias("loose"), labels.json_label(True)("truth", "generated").alias("strict")), f"SELECT p_partkey, {_expected(CALLS, 2)} AS loose, {_expected(CALLS, 3)} AS strict FROM part"),
+        "react_label": (lambda s, d: dealt(s, d, ANSWERS).select("p_partkey", labels.react_label()("truth", "generated").alias("label")), f"SELECT p_partkey, {_expected(ANSWERS, 2)} AS label FROM part"),
         "lr_fit": (lambda s, d: models.coefficients(features.standardized(doc_features(s, d), k).select("row_id", "y", "feature", F.col("z").alias("value")), pool, penalise_intercept=True), None),
         "lr_cv_auc": (lambda s, d: models.search(doc_features(s, d), {2: pool}), None),
         "combo_sweep": (lambda s, d: models.search(doc_features(s, d), {2: pool, 3: pool, 4: pool}), None),

@@ -23,7 +23,9 @@ def jsonl(spark: SparkSession, path: str, schema=RECORD, strict: bool = True) ->
 
 def jsonl_counted(spark: SparkSession, path: str, schema: T.StructType = RECORD) -> tuple[DataFrame, DataFrame]:
     """The good records, and one row with how many lines were read and how many dropped."""
-    raw = spark.read.schema(T.StructType([*schema.fields, T.StructField("_corrupt_record", T.StringType())])).option("mode", "PERMISSIVE").json(path)
+    lines = spark.read.text(path).where(F.length(F.trim("value")) > 0)
+    whole = T.StructType([*schema.fields, T.StructField("_corrupt_record", T.StringType())])
+    raw = lines.select(F.from_json("value", whole, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt_record"}).alias("r")).select("r.*")
     bad = F.col("_corrupt_record").isNotNull()
     return raw.where(~bad).drop("_corrupt_record"), raw.agg(F.count("*").alias("lines"), F.count_if(bad).alias("dropped"))
 
