@@ -38,13 +38,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quarry.llm import text as tx
-from quarry.llm.scratch import Scratch, mapped, pack64, runs, text_bytes, unpack64
+from quarry.llm.scratch import Scratch, mapped, pack64, release, runs, text_bytes, unpack64
 
 LENGTH, GRAM = 100, 32
 #: Different pieces from which an anchor is wide: in a bucket, and in a task.
-HOT, LOCAL = 4096, 64
+HOT, LOCAL = 1024, 64
 #: Pieces that a task holds before it sends them.
-FLUSH = 600_000
+FLUSH = 200_000
 NULL_ID = -(1 << 63)
 SIGN = np.uint64(1 << 63)
 FIELDS = ("anchor", "content", "doc", "start", "size")
@@ -241,7 +241,7 @@ def _found(docs: DataFrame, length: int, groups: bool, hot: int, local: int) ->
     spark = docs.sparkSession
     scratch = Scratch(spark)
     docs = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)).alias("doc_id"), "text")
-    buckets = max(16, text_bytes(docs) >> 23)
+    buckets = max(16, text_bytes(docs) >> 22)
     tasks = max(8, min(buckets, int(spark.conf.get("spark.sql.shuffle.partitions"))))
     bucket_of = lambda h: ((h >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
     passing = lambda doc: -1 - np.abs(doc % 4096).astype(np.int32)
@@ -295,6 +295,7 @@ def _found(docs: DataFrame, length: int, groups: bool, hot: int, local: int) ->
                 if n > FLUSH:
                     yield from flush(held)
                     held, n = [], 0
+                    release()
         if held:
             yield from flush(held)
 
