@@ -6,7 +6,7 @@ what lies close lies in one block, and each block holds a forest of its own, in
 
  1. *Descent.*  A query descends in the forest of its own block to the longest prefixes that it shares with other rows,
     by binary search in all trees, and ascends synchronously, a bit at a time in all of them, until some 4 k rows are
-    met.  Their k-th score is a bound that any better neighbour must pass.
+    met.  The k best of these are in its list, and the last one's score is a bound that any better neighbour must pass.
  2. *Ascent.*  With that bound the query ascends in each block's forest, in all trees at once, as far as rows that could
     pass it are likely to be: nearness is the inner product, so a row of a band whose norms reach n passes only if its
     cosine is above bound / n.  Rows within that angle share a prefix of p bits with probability s ** p or more in a tree,
@@ -87,9 +87,9 @@ class Forest:
         """The rows of one query's ranges."""
         return np.unique(np.concatenate([self.order[t, a:b] for t, (a, b) in enumerate(zip(lo.tolist(), hi.tolist(), strict=True))]))
 
-    def bounds(self, queries: np.ndarray, k: int) -> np.ndarray:
-        """Descent: the k-th score among the longest-prefix matches of each query, -inf if there are fewer rows."""
-        out, wanted = np.full(len(queries), -np.inf), strings(queries, self.trees, self.depth)
+    def descend(self, queries: np.ndarray, k: int) -> list[tuple[np.ndarray, np.ndarray]]:
+        """Ids and scores of each query's k best longest-prefix matches, best first; all rows if there are fewer."""
+        out, wanted = [(np.zeros(0, np.int64), np.zeros(0))] * len(queries), strings(queries, self.trees, self.depth)
         bits, todo = np.full(len(queries), self.depth), np.arange(len(queries))
         while len(todo):
             lo, hi = self.ranges(wanted[:, todo], bits[todo])
@@ -98,11 +98,12 @@ class Forest:
             for j in np.flatnonzero(enough):
                 q = todo[j]
                 met = self.under(lo[:, j], hi[:, j])
-                if len(met) >= k:
-                    score = (self.rows[met] * queries[q]).sum(axis=1)
-                    out[q] = np.partition(score, len(met) - k)[len(met) - k]
-                elif bits[q]:
+                if len(met) < k and bits[q]:
                     rest.append(q)
+                    continue
+                score = (self.rows[met] * queries[q]).sum(axis=1)
+                best = np.lexsort((self.ids[met], -score))[:k]
+                out[q] = self.ids[met][best], score[best]
             todo = np.concatenate([todo[~enough], np.asarray(rest, np.int64)])
             bits[todo] -= 1
         return out
@@ -191,23 +192,26 @@ def nearest(vectors: DataFrame, k: int = 20, every: int = 20, block: int = 16384
             return
         ids, x = np.concatenate([b.column("vec_id").to_numpy() for b in held]), np.concatenate([_matrix(b) for b in held])
         ask = np.concatenate([b.column("ask").to_numpy(zero_copy_only=False) for b in held])
-        bound = np.full(len(ids), -np.inf)
+        found: list = [None] * len(ids)
         at = np.flatnonzero(ask)
         if len(at):
             forest = Forest(ids, x)
             for a in range(0, len(at), STEP):
-                bound[at[a : a + STEP]] = forest.bounds(x[at[a : a + STEP]], k + 1)
+                for i, (near, score) in zip(at[a : a + STEP], forest.descend(x[at[a : a + STEP]], k + 1), strict=True):
+                    found[i] = [{"vec_id": int(v), "score": float(s)} for v, s in zip(near, score, strict=True)]
         done = 0
         for b in held:
-            more = [pa.array(np.full(b.num_rows, number), pa.int32()), pa.array(bound[done : done + b.num_rows])]
+            own = found[done : done + b.num_rows]
             done += b.num_rows
-            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in ("vec_id", "embedding", "h1", "h2", "ask")), *more], names=["vec_id", "embedding", "h1", "h2", "ask", "block", "bound"])
+            bound = [x[-1]["score"] if x is not None and len(x) > k else -np.inf for x in own]
+            more = [pa.array(np.full(b.num_rows, number), pa.int32()), pa.array(bound, pa.float64()), pa.array(own, pa.list_(pa.struct([("vec_id", pa.int64()), ("score", pa.float64())])))]
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in ("vec_id", "embedding", "h1", "h2", "ask")), *more], names=["vec_id", "embedding", "h1", "h2", "ask", "block", "bound", "met"])
 
     schema = "vec_id long, embedding array<double>, h1 long, h2 long, ask boolean"
     placed = scratch.keep(mapped(kept.select("vec_id", "embedding", "h1", "h2", "ask"), first, schema + ", place long"), "placed")
     blocks = max(1, -(-placed.count() // block))
     dealt = placed.repartitionByRange(blocks, "place", "h1").select("vec_id", "embedding", "h1", "h2", "ask")
-    index = scratch.keep(mapped(dealt, descend, schema + ", block int, bound double"), "index")
+    index = scratch.keep(mapped(dealt, descend, schema + ", block int, bound double, met array<struct<vec_id:long,score:double>>"), "index")
     batches = max(1, -(-index.where("ask").count() // QUERIES))
 
     side = ["cell", "kind", "vec_id", "embedding", "h1", "h2", "bound"]
@@ -242,8 +246,9 @@ def nearest(vectors: DataFrame, k: int = 20, every: int = 20, block: int = 16384
                     })
 
     found = mapped(cells, ascend, "h1 long, h2 long, vec_id long, score double")
-    order = F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc("score"), "vec_id"))
-    best = found.withColumn("place", order).where(F.col("place") <= k + 1)
+    met = index.where("ask").select("h1", "h2", F.explode("met").alias("m")).select("h1", "h2", "m.*")
+    order = F.dense_rank().over(Window.partitionBy(*keys).orderBy(F.desc("score"), "vec_id"))
+    best = found.unionByName(met).withColumn("place", order).where(F.col("place") <= k + 1).dropDuplicates([*keys, "vec_id"])
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     mine = queries.join(best, keys).where(F.col("vec_id") != F.col("query_id")).withColumn("rank", rank)
     return mine.where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
