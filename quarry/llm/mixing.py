@@ -32,10 +32,16 @@ WORD = r"[^\x20\x09-\x0D]+"
 BINS = 2048
 
 
+#: Characters that prose has few of.
+RARE = "0123456789#*$%&|<>{}[]^~_=+@/"
+
+
 def default_quality(text: Column, size: Column) -> Column:
-    """1, but a half where words are under 2 or over 16 characters on average."""
+    """The squared share of characters that prose is made of, halved where words are under 2 or over 16 characters on
+    average; between 0.02 and 1."""
     mean = F.try_divide(F.length(text).cast("double"), size)
-    return F.when(mean.between(2.0, 16.0), F.lit(1.0)).otherwise(F.lit(0.5))
+    plain = F.coalesce(F.try_divide(F.length(F.translate(text, RARE, "")).cast("double"), F.length(text)), F.lit(1.0))
+    return F.greatest(plain * plain, F.lit(0.04)) * F.when(mean.between(2.0, 16.0), F.lit(1.0)).otherwise(F.lit(0.5))
 
 
 def targets(sources: DataFrame, weights: Sequence[float] = (5, 2, 1), most: float = 3.0) -> DataFrame:
