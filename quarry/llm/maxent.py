@@ -14,7 +14,7 @@ RATE * log((E + gradient) / E), smoothed, where E is what the row alone would ex
 the likelihood of its documents under the weights before it, of documents not trained on yet: ``Model.progress``.  Tasks
 of a round are twice the cluster's cores, so what is exchanged doesn't grow with the corpus but by the model.
 
-The number of feature rows grows with the square root of the training tokens, from 2**12 to 2**MOST; the bound keeps the
+The number of feature rows grows with the square root of the training tokens, from 2**14 to 2**MOST; the bound keeps the
 weights, which are broadcast, below 2**MOST * (CLASSES + MEMBERS) * 4 bytes.  Word counts are exact: the most frequent
 words, at most HEAD of them by a bound on n, are broadcast; tokens of all other words are joined to the table of counts.
 Words are known by 64-bit hashes.
@@ -39,7 +39,7 @@ from quarry.llm.scratch import Scratch, mapped, runs
 
 CLASSES, MEMBERS, HEAD, MOST = 32, 32, 1 << 18, 20
 #: Updates, their size, and the tokens that a row's expectation is smoothed by.
-ROUNDS, RATE, SMOOTH = 4, 0.4, 1.0
+ROUNDS, RATE, SMOOTH = 4, 0.4, 4.0
 END = np.uint64(0xE4D0F7E87A11C0DE)
 BEFORE = np.uint64(0xBE614414640F7E87)
 NEVER = np.float32(-1e30)
@@ -225,7 +225,7 @@ def train(docs: DataFrame, counts: DataFrame, rounds: int = ROUNDS, rate: float
     by = np.argsort(words)
     total = int(per_class.sum())
     if rows is None:
-        rows = 1 << int(np.clip(np.ceil(np.log2(max(total, 1)) / 2) + 2, 12, MOST))
+        rows = 1 << int(np.clip(np.ceil(np.log2(max(total, 1)) / 2) + 2, 14, MOST))
     model = Model(np.zeros((rows, CLASSES), np.float32), np.zeros((rows, MEMBERS), np.float32), prior1, prior2, words[by], np.array([x["class"] * MEMBERS + x["member"] for x in tops], np.int64)[by], rest, once, total, sum(x["words"] for x in stats))
     inner = np.tile(prior2, (rows // CLASSES, 1))
     dealt = docs.withColumn("_round", F.pmod(F.xxhash64("doc_id", F.lit(11)), F.lit(rounds)))
