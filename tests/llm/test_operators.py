@@ -387,15 +387,16 @@ def test_neighbours_of_mixed_norms(sigma):
     x = rng.standard_normal((40, 64))[rng.integers(0, 40, 4096)] + 0.7 * rng.standard_normal((4096, 64))
     x = x / np.linalg.norm(x, axis=1, keepdims=True) * rng.lognormal(0, sigma, (4096, 1))
     forests = [f for part in np.array_split(np.arange(4096), 3) for f in neighbours.bands(part, x[part])]
-    bound = neighbours.Forest(np.arange(2000), x[:2000]).bounds(x[:60], 21)
-    parts = [f.search(x[:60], bound, 21, 0.02) for f in forests]
+    met = neighbours.Forest(np.arange(2000), x[:2000]).descend(x[:60], 21)
+    assert all(len(i) == 21 for i, _ in met)
+    parts = [met, *(f.search(x[:60], np.array([s[-1] for _, s in met]), 21, 0.02) for f in forests)]
     hits = 0
     for q in range(60):
         score = x @ x[q]
         score[q] = -np.inf
-        found = sorted(((v, i) for p in parts for i, v in zip(*p[q], strict=True) if i != q), reverse=True)[:20]
-        assert all(abs(score[i] - v) < 1e-9 * max(1, abs(v)) for v, i in found)
-        hits += len({i for _, i in found} & set(np.argsort(-score)[:20].tolist()))
+        found = sorted({int(i): v for p in parts for i, v in zip(*p[q], strict=True) if i != q}.items(), key=lambda x: -x[1])[:20]
+        assert all(abs(score[i] - v) < 1e-9 * max(1, abs(v)) for i, v in found)
+        hits += len({i for i, _ in found} & set(np.argsort(-score)[:20].tolist()))
     assert hits >= 0.95 * 20 * 60
 
 
@@ -507,8 +508,7 @@ def test_repeated_rows(spark):
         assert f(d).count() == 4
 
 
-@pytest.mark.parametrize("hot", [40, 2])
-def test_jaccard_of_awkward_rows(spark, hot):
+def test_jaccard_of_awkward_rows(spark, hot=2):
     """Rows without doc_id link like others, different texts of one doc_id are rows of their own; small flushes and blocks."""
     rng = random.Random(4)
     base = [f"w{k}" for k in range(60)]
