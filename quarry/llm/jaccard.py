@@ -140,7 +140,7 @@ def _sketch(docs: DataFrame, width: int, num: int, den: int, blocks: int, tasks:
                 need = _need(n, num, den)
                 keep = n - need + np.minimum(n, 1) + need // 5
                 take = np.arange(len(h)) - np.repeat(so[:-1], n) < np.repeat(keep, n)  # ascending within each set
-                held.append((h[take], np.repeat(row, n)[take]))
+                held.append((tx.mix(h[take]), np.repeat(row, n)[take]))  # least hashes are small; mixed they spread evenly
                 rows.append((b.column("doc_id").slice(i, j - i), b.column("text_key").slice(i, j - i), row, n))
                 size += int(take.sum()) + j - i
                 if size > FLUSH:
@@ -354,8 +354,9 @@ def _entries(shared: DataFrame, num: int, den: int, blocks: int, tasks: int) ->
             flag[owner[hot]] = np.uint32(1 << 31)  # rows that also have entries outside the blocks
             e = np.empty(int((~hot).sum()), KIND)
             e["h"], e["r"], e["n"] = h[~hot], row[owner[~hot]], n[owner[~hot]].astype(np.uint32) | flag[owner[~hot]]
-            e = e[np.argsort(e["h"])]
-            block = _block_of(e["h"], blocks)
+            block = _block_of(tx.mix(e["h"]), blocks)  # prefixes hold small hashes
+            order = np.argsort(block, kind="stable")
+            e, block = e[order], block[order]
             ends = _cuts(block)
             for k in range(0, len(ends) - 1, 256):
                 cut = list(zip(ends[k : k + 256], ends[k + 1 : k + 257], strict=False))

@@ -290,6 +290,7 @@ def _found(docs: DataFrame, length: int, groups: bool, hot: int, local: int) ->
                 size = c + length - 1
                 where = np.searchsorted(own, s, "right") - 1
                 begin = s - own[where] + (a - off[i] if len(own) == 2 else 0)
+                anchor = tx.mix(anchor)  # least hashes are small; mixed they spread evenly over the buckets
                 held.append((anchor, tx.span_hash(sums, s, s + size), ids[i + where], begin, size))
                 n += len(s)
                 if n > FLUSH:
